@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, packing, sharding, simhash
+from . import ann, common, langid, lines, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = common.crc_mod(docs["doc_id"], 3)
+    model = langid.fit(docs.where((rest != 1) & docs["lang"].isNotNull()))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", F.coalesce(common.crc_mod(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -30,15 +38,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", common.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_langid": op3_langid,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
+    "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
 }
 
