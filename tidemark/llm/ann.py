@@ -5,7 +5,8 @@ smaller tables are fitted whole). A node's hyperplane lies between the means of
 neighbourhoods, at the median of its sample points. For inner products, vectors get one more
 component, sqrt(M^2 - |x|^2), M the largest norm; queries get 0 there. Every row is indexed: it falls into
 one leaf of each tree. A query walks all trees through one priority queue of margins until it has
-visited ``PROBES`` leaves. Leaves are reranked where they are: each gives a query its best
+visited a number of leaves that is fitted too: the least one by which ``CALIBRATION_QUERIES`` rows of the sample
+find ``RECALL`` of their true neighbours in it. Leaves are reranked where they are: each gives a query its best
 ``k`` by the exact double-precision inner product of the original vectors, and the best of all
 leaves win. Leaves with more than ``LEAF_ROWS`` rows or ``LEAF_QUERIES`` queries are dealt out in
 chunks, every query chunk to every row chunk, so a leaf full of copies is searched whole but not in one task.
@@ -30,12 +31,14 @@ from pyspark.sql import Window as W
 from . import common
 
 TREES = 8
-PROBES = 64
+RECALL = 0.96
+CALIBRATION_QUERIES = 256
 FIT_ROWS = 65_536
 FIT_BYTES = 32 << 20
-LEAF = 128
+LEAF = 1024
 LEAF_ROWS = 4096
 LEAF_QUERIES = 8192
+HELD = 1 << 20
 K = 20
 
 
@@ -166,9 +169,49 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     return outs
 
 
+def probes_for(forest: Forest, sample: np.ndarray, recall: float, k: int) -> int:
+    """The least number of leaves that finds ``recall`` of the sample's true neighbours within the sample."""
+    total = max(1, forest.leaves)
+    if len(sample) < 2:
+        return total
+    rng = np.random.default_rng(3)
+    asked = rng.choice(len(sample), min(len(sample), CALIBRATION_QUERIES), replace=False)
+    leaves = forest.assign(sample)
+    x, at = sample.astype(np.float64), []
+    for q, order in zip(asked, forest.search(sample[asked], total), strict=True):
+        score = x @ x[q]
+        score[q] = -np.inf
+        m = min(k, len(x) - 1)
+        near = np.argpartition(-score, m - 1)[:m]
+        turn = np.zeros(total, np.int64)
+        turn[order] = np.arange(1, len(order) + 1)
+        at.append(turn[leaves[near]].min(axis=1))
+    turns = np.sort(np.concatenate(at))
+    return int(turns[min(len(turns) - 1, int(np.ceil(recall * len(turns))))])
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` of each query among what was found so far; a pair counts once."""
+    q, v, s = (np.concatenate([p[j] for p in parts]) for j in range(3))
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+    q, v, s = q[new], v[new], s[new]
+    first = np.searchsorted(q, q, side="left")
+    keep = np.arange(len(q)) - first < k
+    return q[keep], v[keep], s[keep]
+
+
 def _rerank(batches: Iterator[pa.RecordBatch], kind: np.dtype, k: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, is_query, id, vec) sorted by part and is_query: a part's rows, then its queries."""
     part, held, ids, x = None, [], None, None
+    found: list[tuple] = []
+    size = 0
+
+    def batch_of(own: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(o) for o in own], ["query_id", "vec_id", "score"])
+
     for batch in batches:
         parts = batch.column(0).to_numpy()
         query = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -187,8 +230,16 @@ def _rerank(batches: Iterator[pa.RecordBatch], kind: np.dtype, k: int) -> Iterat
                 continue
             if x is None:
                 ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            out = best_of(own_ids[a:b], vecs, ids, x, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
+            found.append(tuple(np.concatenate(o) for o in best_of(own_ids[a:b], vecs, ids, x, k)))
+            size += len(found[-1][0])
+            if size > HELD:
+                found = [_merged(found, k)]
+                size = len(found[0][0])
+                if 2 * size > HELD:
+                    yield batch_of(found[0])
+                    found, size = [], 0
+    if found:
+        yield batch_of(_merged(found, k))
 
 
 def vectors(table: DataFrame) -> tuple[DataFrame, np.dtype, int]:
@@ -207,7 +258,7 @@ def vectors(table: DataFrame) -> tuple[DataFrame, np.dtype, int]:
     return common.written(own.mapInArrow(work, "vec_id long, norm double, vec binary"), "ann-vectors"), kind, dim
 
 
-def neighbours(table: DataFrame, is_query: Column, k: int = K, trees: int = TREES, probes: int = PROBES) -> DataFrame:
+def neighbours(table: DataFrame, is_query: Column, k: int = K, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row for which ``is_query`` (of vec_id) holds."""
     spark = common.session(table)
     base, kind, dim = vectors(table)
@@ -218,6 +269,7 @@ def neighbours(table: DataFrame, is_query: Column, k: int = K, trees: int = TREE
     sample = base.where(part).select("vec").limit(2 * bound).toArrow().column(0).to_pylist()
     fitted = np.frombuffer(b"".join(sample), kind).reshape(-1, dim)
     forest = Forest(fitted, top, max(8, int(LEAF * len(fitted) / max(1, n))), trees)
+    probes = probes_for(forest, fitted[:bound], recall, k)
     given = spark.sparkContext.broadcast(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
