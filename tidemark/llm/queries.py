@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, langid, lines, packing, sharding, simhash
+from . import ann, common, langid, lines, lm, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = lm.learn(docs.where(common.crc_mod(docs["doc_id"], 7) != 2))
+    held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(True)).alias("held_out")
+    return lm.score(docs, model, counts).select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_brown_lm": op7_brown_lm,
     "op8_sharding": op8_sharding,
     "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
