@@ -7,7 +7,7 @@ are dealt to few tasks, which fill windows one after another; the last, partly f
 a task is cut into sequences whose lengths are powers of two, which need no padding.
 
 White-space-separated chunks are tokenised apart and remembered (the tokenizer's pattern never spans
-white space), ``MEMO`` of them at most in a worker.
+white space), two generations of ``MEMO`` at most in a worker.
 
 Defined cases: null or empty text is the end id alone; a null doc_id stays null; repeated rows
 are packed as often as they occur; no rows give no rows.
@@ -16,8 +16,10 @@ are packed as often as they occur; no rows give no rows.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,54 +34,84 @@ OPEN = 32
 END_ID = 2
 MEMO = 300_000
 MERGE_WINDOWS = 256
-_MARK = "\x01"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
 
 
 class ChunkTokenizer:
-    """Ids (unsigned 32-bit, little-endian bytes) of whole texts, by chunks."""
+    """Ids (unsigned 32-bit, little-endian bytes) of whole texts, by chunks between ASCII blanks.
+
+    The tokenizer's own normaliser and pattern are slow on text whose words it has not met, so chunks are
+    split here and only the pieces go to its model. Texts with its special strings, and
+    chunks with a letter whose lower case depends on context, go through it whole."""
 
     def __init__(self, source: str, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo = Tokenizer.from_str(source), memo, {}
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.tokenizer, self.most = Tokenizer.from_str(source), memo
+        self.model = self.tokenizer.model
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\s]+", re.ASCII)
+        self.any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
+        # the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in set(plain)]
+        self.alphabet = {**{x: chr(x) for x in plain}, **{x: chr(256 + k) for k, x in enumerate(rest)}}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _alone(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) + len(chunks) > self.most:
-            self.memo.clear()
-        odd = [c for c in chunks if b"\x01" in c or len(self.mark) != 1]
-        even = list(chunks.difference(odd))
-        for c in odd:
-            self.memo[c] = self._alone(c.decode("utf-8", "replace"))
-        for at in range(0, len(even), 2000):
-            part = even[at : at + 2000]
-            text = f" {_MARK} ".join([c.decode("utf-8", "replace") for c in part] + [""])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            raw, last = ids.tobytes(), 0
-            for chunk, end in zip(part, np.flatnonzero(ids == self.mark[0]), strict=True):
-                self.memo[chunk] = raw[4 * last : 4 * end]
-                last = end + 1
-
-    def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        new = set().union(*split).difference(self.memo)
-        if new:
-            self.learn(new)
-            if missing := set().union(*split).difference(self.memo):
-                self.learn(missing)
-        get = self.memo.__getitem__
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            whole = text and any(s in text for s in self.special)
-            out.append(self._alone(text.decode("utf-8", "replace")) if whole else b"".join(map(get, words)))
-        return out
+    def _chunk(self, chunk: bytes) -> bytes:
+        tokenize = self.model.tokenize
+        if chunk.isascii():
+            pieces = self.ascii.findall(chunk.lower().decode())
+            if any(c < 33 or c == 127 for c in chunk):
+                pieces = ["".join(self.alphabet[ord(c)] for c in p) for p in pieces]
+        else:
+            text = unicodedata.normalize("NFC", chunk.decode("utf-8", "replace"))
+            if "\u03a3" in text or "\u0130" in text:
+                return self._whole(text)
+            pieces = ["".join(map(self.alphabet.__getitem__, p.encode())) for p in self.any.findall(text.lower())]
+        return b"".join(t.id.to_bytes(4, "little") for p in pieces for t in tokenize(p))
+
+    def ids(self, chunk: bytes) -> bytes:
+        """Two generations of remembered chunks bound the memory."""
+        found = self.old.get(chunk)
+        if found is None:
+            found = self._chunk(chunk)
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = found
+        return found
+
+    def encode(self, text: bytes | None) -> bytes:
+        if not text:
+            return b""
+        if b"<|" in text and any(s in text for s in self.special):
+            return self._whole(text.decode("utf-8", "replace"))
+        get, miss, out = self.young.get, self.ids, []
+        for w in text.split():
+            found = get(w)
+            out.append(miss(w) if found is None else found)
+            if found is None:
+                get = self.young.get
+        return b"".join(out)
+
+
+_encoders: dict[int, ChunkTokenizer] = {}
+
+
+def _encoder(source: str) -> ChunkTokenizer:
+    """One for each worker process, which Spark reuses from task to task."""
+    key = zlib.crc32(source.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = ChunkTokenizer(source)
+    return _encoders[key]
 
 
 class Windows:
@@ -145,7 +177,7 @@ def _rows(pieces: list[tuple], open_: bool, with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             col(lambda p: p[0][0], pa.int64()), col(lambda p: p[1], pa.int64()), col(lambda p: len(p[2]) // 4, pa.int64()),
-            col(lambda p: zlib.crc32(p[2]), pa.int64()), col(lambda p: p[0][1], pa.int64()), col(lambda p: p[3], pa.int64()), col(lambda p: p[4], pa.int64()), pa.array([open_] * len(pieces)),
+            col(lambda p: zlib.crc32(p[2]), pa.int64()), col(lambda p: p[0][1], pa.int64()), col(lambda p: p[3], pa.int64()), col(lambda p: p[4], pa.int64()), pa.array([open_] * len(pieces), pa.bool_()),
             col(lambda p: p[2] if with_ids or open_ else None, pa.binary()),
         ],
         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open", "ids"],
@@ -161,13 +193,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_open:
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = _encoder(model.value)
         windows = Windows(TaskContext.get().partitionId() << 32, window, keep_open)
         for batch in common.slices(batches, 128):
-            encoder = encoder or ChunkTokenizer(model.value)
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(common.as_bytes(batch.column(1))), strict=True):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
+                ids = encoder.encode(text) + end
                 out += windows.place((doc, len(ids) // 4), ids)
             yield _rows(out, False, with_ids)
         for _, pieces in windows.open:
