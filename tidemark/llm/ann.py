@@ -38,6 +38,7 @@ FIT_BYTES = 32 << 20
 LEAF = 1024
 LEAF_ROWS = 4096
 LEAF_QUERIES = 8192
+LEAF_GROUP = 8
 HELD = 1 << 20
 K = 20
 
@@ -300,7 +301,8 @@ def neighbours(table: DataFrame, is_query: Column, k: int = K, trees: int = TREE
     own = lambda of: F.pmod(F.xxhash64("id"), of)
     rows = rows.select("leaf", own(b).alias("b"), spread(c).alias("c"), F.lit(False).alias("q"), "id", "vec")
     asked = asked.select("leaf", spread(b).alias("b"), own(c).alias("c"), F.lit(True).alias("q"), "id", "vec")
-    dealt = rows.unionByName(asked).select(F.xxhash64("leaf", "b", "c").alias("part"), "q", "id", "vec")
-    near = dealt.repartition("part").sortWithinPartitions("part", "q").mapInArrow(lambda it: _rerank(it, kind, k), "query_id long, vec_id long, score double")
+    group = F.xxhash64(F.expr(f"leaf div {LEAF_GROUP}"), "b", "c").alias("group")  # leaves that lie together share a task, which merges what they find
+    dealt = rows.unionByName(asked).select(group, F.xxhash64("leaf", "b", "c").alias("part"), "q", "id", "vec")
+    near = dealt.repartition("group").sortWithinPartitions("group", "part", "q").drop("group").mapInArrow(lambda it: _rerank(it, kind, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
