@@ -32,7 +32,7 @@ from . import common
 
 SHARDS = 40
 OVERHEAD = 16
-BINS = 2048
+BINS = 1024
 WHOLE = 0.04
 CLOSE = 0.0005
 BUCKET_ROWS = 100_000
@@ -110,7 +110,9 @@ def _narrow(placed: DataFrame, todo: list[Search], close: float) -> None:
     width = {k: max(1, -(-(s.hi - s.lo + 1) // BINS)) for k, s in by.items()}
     names = "n long, dim int, axis int, f0 long, f1 long, lo long, hi long, width long"
     rows = [(k, s.node.dim, s.axis, *(s.fixed + [0, 0])[:2], s.lo, s.hi, width[k]) for k, s in by.items()]
-    given = F.broadcast(common.session(placed).createDataFrame(rows, names))  # at most one row for each shard
+    values = ", ".join(f"({', '.join(map(str, row))})" for row in rows)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in map(str.split, names.split(", ")))
+    given = F.broadcast(common.session(placed).sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(x.split()[0] for x in names.split(', '))})"))  # at most one row for each shard
     v = F.element_at("dims", F.col("dim") + 1)
     inside = ((F.col("axis") == 0) | (v == F.col("f0"))) & ((F.col("axis") < 2) | (F.col("g") == F.col("f1")))
     key = F.when(F.col("axis") == 0, v).when(F.col("axis") == 1, F.col("g")).otherwise(F.col("r"))
