@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -143,10 +143,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         yield from done(held)
 
 
-def _keyed(fps: DataFrame, combos: list[tuple[int, int]], spread: Column) -> DataFrame:
-    """One row per table: the table's number and the masked bits."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k1"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k2")) for k, m in combos]))
-    return fps.select("fp", keys.alias("key"), spread.alias("up")).select(F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "fp", "up")
+def _keyed(rows: DataFrame, tables: list[tuple[int, int, int]]) -> DataFrame:
+    """(k1, k2, fp): each row (fp, k1) in all tables (k1 before, new k1, bits) that go on from its own."""
+    values = ", ".join(f"(CAST({above} AS BIGINT), CAST({k} AS BIGINT), CAST({_signed(mask)} AS BIGINT))" for above, k, mask in tables)
+    given = F.broadcast(common.session(rows).sql(f"SELECT * FROM VALUES {values} AS t(above, k, mask)"))  # 50 rows at most
+    return rows.join(given, rows["k1"] == given["above"]).select(F.col("k").alias("k1"), F.col("fp").bitwiseAND(F.col("mask")).alias("k2"), "fp")
 
 
 def _signed(mask: int) -> int:
@@ -158,33 +159,28 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_row
 
     ``fps``: distinct fingerprints in a column fp."""
     masks = _block_masks(blocks)
-    tables = [(k, sum(masks[i] for i in combo)) for k, combo in enumerate(combinations(range(blocks), blocks - radius))]
-    none = F.lit(0).cast("long")
-    keyed = _keyed(fps, tables, none)
+    tables = [(0, k, sum(masks[i] for i in combo)) for k, combo in enumerate(combinations(range(blocks), blocks - radius))]
+    keyed = _keyed(fps.select("fp", F.lit(0).cast("long").alias("k1")), tables)
     found = None
-    for _ in range(2):
+    for level in range(2):
         sizes = common.written(keyed.groupBy("k1", "k2").count().where("count > 1"), "simhash-buckets")
         few = sizes.where(F.col("count") <= bucket_rows).select("k1", "k2")
         part = keyed.join(few, ["k1", "k2"]).select("k1", "k2", "fp")
-        schema = "a long, b long"
-        own = part.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lambda it, r=radius: _bucket_links(it, r), schema)
+        own = part.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lambda it, r=radius: _bucket_links(it, r), "a long, b long")
         found = own if found is None else found.unionByName(own)
-        if not sizes.where(F.col("count") > bucket_rows).head(1):
-            return found
-        # a hot bucket: of the bits its key leaves open, radius + 1 sub-blocks, one of which must agree
         many = sizes.where(F.col("count") > bucket_rows).select("k1", "k2")
-        hot = keyed.join(many, ["k1", "k2"])
-        finer = []
-        for k, mask in tables:
-            rest = [b for b in range(64) if not mask >> b & 1]
-            finer += [((k + 1) * 100 + j, mask | sub) for j, sub in enumerate(_block_masks(min(radius + 1, max(1, len(rest))), rest))]
-        parts = [_keyed(hot.where(F.col("k1") == k), [f for f in finer if f[0] // 100 == k + 1], none) for k, _ in tables]
-        keyed = parts[0]
-        for p in parts[1:]:
-            keyed = keyed.unionByName(p)
-        tables = finer
+        if not many.head(1):
+            return found
+        hot = keyed.join(many, ["k1", "k2"]).select("fp", "k1")
+        if level == 0:
+            # of the bits that a hot bucket's key leaves open, radius + 1 sub-blocks, one of which must agree
+            finer = []
+            for _, k, mask in tables:
+                rest = [b for b in range(64) if not mask >> b & 1]
+                finer += [(k, (k + 1) * 100 + j, mask | sub) for j, sub in enumerate(_block_masks(radius + 1, rest))]
+            keyed, tables = _keyed(hot, finer), finer
     # fingerprints of a bucket that is still hot meet at points between them
-    return found.unionByName(_by_neighbours(keyed.join(many, ["k1", "k2"]).select("fp").distinct(), radius))
+    return found.unionByName(_by_neighbours(hot.select("fp").distinct(), radius))
 
 
 def _by_neighbours(hot: DataFrame, radius: int) -> DataFrame:
