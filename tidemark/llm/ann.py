@@ -231,6 +231,10 @@ def _rerank(batches: Iterator[pa.RecordBatch], kind: np.dtype, k: int) -> Iterat
                 continue
             if x is None:
                 ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                if len(np.unique(ids)) < len(ids):  # repeated rows lie in the same part
+                    first = {(int(i), v.tobytes()): k for k, (i, v) in reversed(list(enumerate(zip(ids, x, strict=True))))}
+                    keep = sorted(first.values())
+                    ids, x = ids[keep], x[keep]
             found.append(tuple(np.concatenate(o) for o in best_of(own_ids[a:b], vecs, ids, x, k)))
             size += len(found[-1][0])
             if size > HELD:

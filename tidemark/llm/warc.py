@@ -132,7 +132,7 @@ class _Archive:
 
     def __init__(self, store: fs.FileSystem, root: str) -> None:
         self.name, self.size = f"{uuid.uuid4().hex}.warc.gz", 0
-        self.out = store.open_output_stream(f"{root}/{self.name}")
+        self.out = store.open_output_stream(f"{root}/{self.name}", compression=None)
 
     def add(self, record: bytes) -> tuple[int, int]:
         member = gzip.compress(record, LEVEL, mtime=0)
@@ -206,7 +206,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             at, lines = at + len(block), []
 
         for batch in common.slices(batches):
-            out = out or store.open_output_stream(f"{root}/{name}")
+            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
             for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines.append(list(line))
                 if len(lines) == block_lines:
@@ -293,7 +293,7 @@ def look_up(asked: DataFrame, index: CaptureIndex, with_payload: bool = True) ->
 
 def members(store: fs.FileSystem, path: str) -> Iterator[bytes]:
     """Each gzip member of a file, inflated; the file is read in chunks."""
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         inflate, parts, rest = zlib.decompressobj(31), [], b""
         while chunk := rest or f.read(CHUNK):
             parts.append(inflate.decompress(chunk))
