@@ -567,3 +567,81 @@ def body_frames(spark, d):
     kind = F.when(F.col("l_returnflag") == "R", "loop").when(F.col("l_returnflag") == "A", "finite").otherwise("held")
     rows = lines(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - 1).cast("long").alias("f"), n.alias("n"), kind.alias("k"))
     return rows.select("l_orderkey", "l_linenumber", S.next_body_frame("k", "f", "n").alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+
+
+# --- machines, paths and formats
+
+
+def sample_graph():
+    """Five states that follow the event types, with every kind of start and transition."""
+    from ..operators.machine import Graph
+
+    body = lambda kind, frames: {"kind": kind, "frames": frames, "ports": {"main": list(range(0, frames, 3))}}
+    states = {"idle": body("loop", 8) | {"intro": 3}, "hover": body("loop", 5), "busy": body("finite", 6), "done": body("held", 1)}
+    edges = [
+        {"id": "idle-hover", "from": "idle", "to": "hover", "event": "view", "start": "portal", "port": "main", "transition": {"kind": "reversible", "frames": 4, "direction": "forward"}, "inverse": "hover-idle"},
+        {"id": "hover-idle", "from": "hover", "to": "idle", "event": "error", "start": "portal", "port": "main", "transition": {"kind": "reversible", "frames": 4, "direction": "reverse"}, "inverse": "idle-hover"},
+        {"id": "hover-busy", "from": "hover", "to": "busy", "event": "click", "start": "cut"},
+        {"id": "busy-done", "from": "busy", "to": "done", "start": "finish", "completion": True, "transition": {"kind": "locked", "frames": 3}},
+        {"id": "busy-idle", "from": "busy", "to": "idle", "event": "error", "start": "cut"},
+        {"id": "done-idle", "from": "done", "to": "idle", "event": "signup", "start": "finish"},
+        {"id": "idle-busy", "from": "idle", "to": "busy", "event": "purchase", "start": "finish", "transition": {"kind": "locked", "frames": 2}},
+    ]
+    return Graph("idle", states, edges)
+
+
+def machine_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as sends, a request for every fifth, and two ticks after each."""
+    e = timed(spark, d).withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("us", "event_id")))
+    want = F.element_at(F.array(*map(F.lit, ("idle", "hover", "busy", "done"))), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    step = lambda k, kind, value: F.struct((F.col("n") * 4 + k).cast("long").alias("seq"), kind.alias("kind"), value.alias("value"))
+    asks = F.pmod("n", F.lit(5)) == 0
+    tick, none = F.lit("tick"), F.lit(None).cast("string")
+    rows = e.select(F.col("user_id").cast("long").alias("key"), F.explode(F.array(step(0, F.when(asks, "request").otherwise("send"), F.when(asks, want).otherwise(F.col("event_type"))), step(1, tick, none), step(2, tick, none))).alias("s"))
+    begin = e.select(F.col("user_id").cast("long").alias("key")).distinct().select("key", F.lit(0).cast("long").alias("seq"), F.lit("begin").alias("kind"), none.alias("value"))
+    return rows.select("key", "s.seq", "s.kind", "s.value").unionByName(begin).withColumn("ready", F.pmod("seq", F.lit(3)) != 0)
+
+
+@query()
+def state_machine_fold(spark, d):
+    from ..operators import machine
+
+    return machine.run(machine_inputs(spark, d), sample_graph()).withColumn("request_ids", F.array_join("request_ids", ","))
+
+
+@query()
+def encoded_window_dp(spark, d):
+    from ..operators import paths
+
+    chunk = F.struct(F.col("len").alias("bytes"), F.pmod(F.col("l_linenumber"), F.lit(3)).cast("long").alias("frames"))
+    shown = F.struct(F.lit(1).cast("long").alias("bytes"), F.lit(1).cast("long").alias("frames"))
+    unit = lambda name, flag, after: F.struct(F.lit(name).alias("id"), F.concat(F.array(shown), F.transform(F.filter("ls", lambda x: x["f"] == flag), lambda x: x["c"])).alias("chunks"), F.array(*map(F.lit, after)).alias("after"))
+    each = lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, F.col("l_returnflag").alias("f"), chunk.alias("c")))).alias("ls"))
+    assets = each.select(F.col("l_orderkey").alias("asset"), F.array(unit("a", "A", ["n", "a"]), unit("n", "N", ["r"]), unit("r", "R", ["a"])).alias("units"))
+    return paths.heaviest_windows(assets, 12)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 200 AS src, min(o_orderkey % 173) OVER (PARTITION BY o_custkey % 200) AS dst FROM orders),
+w(a, b, n) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT w.a, e.dst, n + 1 FROM w JOIN e ON w.b = e.src WHERE w.b <> w.a AND n < 201)
+SELECT DISTINCT a AS node FROM w WHERE a = b""")
+def completion_cycle(spark, d):
+    from ..operators import paths
+
+    src, dst = F.pmod("o_custkey", F.lit(200)), F.pmod("o_orderkey", F.lit(173))
+    return paths.functional_cycles(table(spark, d, "orders").groupBy(src.alias("src")).agg(F.min(dst).alias("dst")), 200)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS src, o_orderkey % 487 AS dst FROM orders WHERE o_orderpriority LIKE '1%'),
+w(node, n) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.dst, n + 1 FROM w JOIN e ON w.node = e.src WHERE n < 3) SELECT DISTINCT node FROM w""")
+def import_closure(spark, d):
+    from ..operators import paths
+
+    e = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.pmod("o_custkey", F.lit(500)).alias("src"), F.pmod("o_orderkey", F.lit(487)).alias("dst")).distinct()
+    return paths.reachable(e, spark.range(1).select(F.lit(7).cast("long").alias("node")), 3)
+
+
+@query()
+def canonical_props(spark, d):
+    from ..sources import formats
+
+    return formats.canonical_column(table(spark, d, "events"), "props", ["event_id"])
