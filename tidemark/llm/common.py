@@ -19,8 +19,21 @@ SLICE_ROWS = 512
 _own_dir: dict[str, str] = {}
 
 
+#: Spark's default size of Arrow batches, and what texts get instead: batches are held several
+#: times over (JVM, Python, the way back), and texts are long.
+SMALLER = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+}
+
+
 def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    """The session; where its Arrow batches still have the default size, they are made smaller."""
+    spark = df.sparkSession
+    for key, (default, smaller) in SMALLER.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, smaller)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
