@@ -16,7 +16,8 @@ document with all of it, so both are cut at anchors: of the ``GRAM``-word hashes
 
 Counting is by occurrence (repeated documents are occurrences too). Surroundings repeated within a
 chunk of documents are merged before they are shuffled. An anchor with more than 1/``HOT_SHARE`` of all
-occurrences has its block dealt out by window fingerprint, so no task takes a hot anchor alone. The
+occurrences has its block dealt out by window fingerprint, and of a window that a chunk holds several times one
+row goes to the block, so no task takes a hot anchor or a hot window alone. The
 filter of repeated anchors that the tasks get has at most 2^``FILTER_BITS`` bits; what it lets pass wrongly is
 found not to match.
 
@@ -183,7 +184,11 @@ def _surroundings(docs: DataFrame, given, window: int) -> DataFrame:
             times = np.diff(begin)
             shift = (np.arange(len(fps)) - np.repeat(begin[:-1], times)).astype(np.int32)
             h, full, n = np.repeat(h, times), np.repeat(full, times), np.repeat(n, times)
-            part, begin = common.mix64(h + fps % np.uint64(HOT_PARTS) + np.uint64(1)), np.arange(len(fps) + 1)
+            # a window that this chunk holds twice needs no block to match: one row stands for it there, the others go anywhere
+            _, one, of = np.unique(fps ^ common.mix64(h), return_index=True, return_inverse=True)
+            n = np.bincount(of, n).astype(np.int64)[of]
+            part, begin = common.mix64(full ^ fps), np.arange(len(fps) + 1)
+            part[one] = common.mix64(h[one] + fps[one] % np.uint64(HOT_PARTS) + np.uint64(1))
         return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(h.view(np.int64)), pa.array(full.view(np.int64)), pa.array(n), pa.array(shift), _binary(fps, begin)], ["part", "h", "full", "n", "shift", "windows"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
