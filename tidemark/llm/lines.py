@@ -206,6 +206,7 @@ def apply_counts(docs: DataFrame, counts: DataFrame, carry: Sequence[str] = (),
         return _by_join(base, counts, filters, schema, min_chars)
 
     rows = counts.select("hi", "lo", "last_doc").collect()
+    common.removed(shards)
     exact = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in rows})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,7 +191,9 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, metadata: Sequence[str] = (
     placed = routed(named.withColumn("r", F.when(F.col("heavy"), F.col("row")).otherwise(F.lit(0).cast("long"))), tree)
     shard = _lookup([n.first for n in _nodes(tree)], F.col("node")).cast("int")
     placed = placed.select("doc_id", F.col("w").alias("size"), F.col("crc").alias("text_crc32"), "g", shard.alias("shard"))
-    return numbered(common.written(placed, "shard-rows"), shards)
+    placed = common.written(placed, "shard-rows")
+    common.removed(groups)
+    return numbered(placed, shards)
 
 
 def numbered(placed: DataFrame, shards: int) -> DataFrame:

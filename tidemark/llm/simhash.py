@@ -228,5 +228,6 @@ def near_groups(docs: DataFrame, carry: Sequence[str] = (), radius: int = RADIUS
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = common.written(linked.join(least, "root").select("fp", "component_id"), "simhash-groups")
+    common.removed(found)
     every = nodes.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("first_doc")).alias("component_id"))
     return rows.join(every, "fp").select("doc_id", "carried", "fp", "component_id")
