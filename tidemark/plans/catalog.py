@@ -645,3 +645,5 @@ def canonical_props(spark, d):
     from ..sources import formats
 
     return formats.canonical_column(table(spark, d, "events"), "props", ["event_id"])
+
+from . import ledgers as _ledgers  # noqa: E402, F401  registers its queries here
