@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -60,26 +61,39 @@ class ChunkTokenizer:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in set(plain)]
         self.alphabet = {**{x: chr(x) for x in plain}, **{x: chr(256 + k) for k, x in enumerate(rest)}}
+        self.control = re.compile(rb"[\x00-\x1f\x7f]")
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(16)]
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
-        tokenize = self.model.tokenize
+        """Ids of a chunk whose ASCII letters are lower case."""
+        if chunk.isalpha():  # ASCII letters alone
+            return self._piece(chunk.decode())
+        if chunk[-1:] in b".,;:!?" and chunk[:-1].isalpha():
+            return self.ids(chunk[:-1]) + self.ids(chunk[-1:])
         if chunk.isascii():
-            pieces = self.ascii.findall(chunk.lower().decode())
-            if any(c < 33 or c == 127 for c in chunk):
+            pieces = self.ascii.findall(chunk.decode())
+            if self.control.search(chunk):
                 pieces = ["".join(self.alphabet[ord(c)] for c in p) for p in pieces]
         else:
             text = unicodedata.normalize("NFC", chunk.decode("utf-8", "replace"))
             if "\u03a3" in text or "\u0130" in text:
                 return self._whole(text)
             pieces = ["".join(map(self.alphabet.__getitem__, p.encode())) for p in self.any.findall(text.lower())]
-        return b"".join(t.id.to_bytes(4, "little") for p in pieces for t in tokenize(p))
+        return b"".join(map(self._piece, pieces))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, "<u4").tobytes()
 
     def ids(self, chunk: bytes) -> bytes:
         """Two generations of remembered chunks bound the memory."""
+        found = self.young.get(chunk)
+        if found is not None:
+            return found
         found = self.old.get(chunk)
         if found is None:
             found = self._chunk(chunk)
@@ -93,12 +107,10 @@ class ChunkTokenizer:
             return b""
         if b"<|" in text and any(s in text for s in self.special):
             return self._whole(text.decode("utf-8", "replace"))
-        get, miss, out = self.young.get, self.ids, []
-        for w in text.split():
-            found = get(w)
-            out.append(miss(w) if found is None else found)
-            if found is None:
-                get = self.young.get
+        words = text.lower().split()
+        out = list(map(self.young.get, words))
+        if None in out:
+            out = [self.ids(w) if found is None else found for w, found in zip(words, out, strict=True)]
         return b"".join(out)
 
 
