@@ -68,11 +68,11 @@ class Search:
 
 
 def _metadata(docs: DataFrame, metadata: Sequence[str]) -> list[Column]:
-    """Each dimension as a long: integers as they are, all else by a hash of its text."""
+    """Each dimension as a long: integers as they are, all else by a 16-bit hash of its text."""
     out = []
     for name in metadata:
         whole = dict(docs.dtypes)[name] in ("bigint", "int", "smallint", "tinyint")
-        value = docs[name].cast("long") if whole else F.crc32(docs[name].cast("string").cast("binary"))
+        value = docs[name].cast("long") if whole else F.crc32(docs[name].cast("string").cast("binary")).bitwiseAND(F.lit(0xFFFF).cast("long"))
         out.append(F.coalesce(value, F.lit(-1).cast("long")))
     return out
 
@@ -117,20 +117,18 @@ def _narrow(placed: DataFrame, todo: list[Search], close: float) -> None:
     inside = ((F.col("axis") == 0) | (v == F.col("f0"))) & ((F.col("axis") < 2) | (F.col("g") == F.col("f1")))
     key = F.when(F.col("axis") == 0, v).when(F.col("axis") == 1, F.col("g")).otherwise(F.col("r"))
     binned = placed.join(given, placed["node"] == given["n"]).where(inside).withColumn("key", key).where("key BETWEEN lo AND hi")
-    sums: dict[int, list[tuple[int, int, int]]] = {k: [] for k in by}
-    for node, step, total, n in binned.select("node", F.expr("(key - lo) div width").alias("bin"), "w").groupBy("node", "bin").agg(F.sum("w"), F.count("w")).collect():
-        sums[node].append((step, total, n))
+    sums: dict[int, list[tuple[int, ...]]] = {k: [] for k in by}
+    for node, step, *rest in binned.select("node", F.expr("(key - lo) div width").alias("bin"), "w", "key").groupBy("node", "bin").agg(F.sum("w"), F.min("key"), F.max("key")).collect():
+        sums[node].append((step, *rest))
     for k, s in by.items():
-        run, step, total, n = s.below, 0, 0, 0
-        for step, total, n in sorted(sums[k]):
+        run, total, lo, hi = s.below, 0, s.lo, s.hi
+        for _, total, lo, hi in sorted(sums[k]):
             if run + total >= s.aim:
                 break
             run += total
-        lo = s.lo + step * width[k]
-        hi = min(s.hi, lo + width[k] - 1)
         s.below, s.lo, s.hi = run, lo, hi
         single = lo == hi
-        if total <= close or n <= 1 or (single and s.axis == 2):
+        if total <= close or (single and s.axis == 2):
             cut = [*s.fixed, hi + 1 if 2 * (s.aim - run) >= total else lo]
             s.node.cut, s.found = tuple(cut + [-1] * (3 - len(cut))), True
         elif single:
