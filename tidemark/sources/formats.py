@@ -1,6 +1,6 @@
 """Readers and writers of the reference's own formats, over Spark's binaryFile and text sources.
 
-A binary index is a 16-byte header (magic, version, record bytes, record count) and fixed 48-byte records,
+A binary index is a 16-byte header (magic, record bytes, zero, record count, zero) and fixed 48-byte records,
 little-endian. Bad files fail the task (``failfast``) or give one row with an error (``permissive``)."""
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the format.
 RECORD_BYTES = 48
 HEADER_BYTES = 16
-MAGIC = b"AVIX"
-VERSION = 1
+MAGIC = bytes([0x41, 0x56, 0x4C, 0x49])
 SAFE = 9007199254740991
 _RECORD = struct.Struct("<QIIQQI12x")
 _HEADER = struct.Struct("<4sHHII")
@@ -32,7 +31,7 @@ class FormatError(ValueError):
 def encode_index(records: list[tuple[int, int, int, int, int, bool]]) -> bytes:
     """Records: offset, length, displayed frames, timestamp, duration, random access."""
     body = b"".join(_RECORD.pack(o, n, f, t, d, int(r)) for o, n, f, t, d, r in records)
-    out = _HEADER.pack(MAGIC, VERSION, RECORD_BYTES, len(records), 0) + body
+    out = _HEADER.pack(MAGIC, RECORD_BYTES, 0, len(records), 0) + body
     if decode_index(out) != [tuple(r) for r in records]:
         raise FormatError("records do not survive the round trip")
     return out
@@ -41,8 +40,8 @@ def encode_index(records: list[tuple[int, int, int, int, int, bool]]) -> bytes:
 def decode_index(data: bytes) -> list[tuple[int, int, int, int, int, bool]]:
     if len(data) < HEADER_BYTES:
         raise FormatError("index is shorter than its header")
-    magic, version, size, count, reserved = _HEADER.unpack_from(data)
-    if magic != MAGIC or version != VERSION or size != RECORD_BYTES or reserved:
+    magic, size, zero, count, reserved = _HEADER.unpack_from(data)
+    if magic != MAGIC or size != RECORD_BYTES or zero or reserved:
         raise FormatError("index header is not of this format")
     if len(data) != HEADER_BYTES + count * RECORD_BYTES:
         raise FormatError("index length does not match its count")
