@@ -164,3 +164,81 @@ def ledger_invariants(spark, d):
 def orphan_records(spark, d):
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     return integrity.missing(lines.select(F.col("l_orderkey").alias("k")), orders.select(F.col("o_orderkey").alias("k")), ["k"]).agg(F.count(F.lit(1)).alias("orphans"))
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events)
+SELECT user_id, count(*) AS frames, coalesce(bool_and(step > 0), true) AS rising, coalesce(min(step) = max(step), true) AS constant_rate FROM g GROUP BY user_id""")
+def probe_report(spark, d):
+    g = timeline.gaps(timed(spark, d), ["user_id"], ["event_id"], F.col("us"), "step")
+    return g.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.bool_and(F.col("step") > 0), F.lit(True)).alias("rising"), F.coalesce(F.min("step") == F.max("step"), F.lit(True)).alias("constant_rate"))
+
+
+_UNITS = """s AS (SELECT c_custkey AS state, c_nationkey AS unit, CAST(5 + c_custkey % 7 AS BIGINT) AS frames FROM customer), e AS (SELECT o_orderkey AS edge, o_custkey AS src, (o_custkey * 7 + o_orderkey) % 150 AS dst FROM orders)"""
+
+
+def _states(spark, d):
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("state"), F.col("c_nationkey").alias("unit"), (F.pmod("c_custkey", F.lit(7)) + 5).alias("frames"))
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("edge"), F.col("o_custkey").alias("src"), F.pmod(F.col("o_custkey") * 7 + F.col("o_orderkey"), F.lit(150)).alias("dst"))
+    return s, e
+
+
+@query(f"""WITH {_UNITS} SELECT edge, a.unit AS from_unit, b.unit AS to_unit, a.frames AS source_frames, n_name AS label FROM e JOIN s a ON src = a.state JOIN s b ON dst = b.state JOIN nation ON n_nationkey = b.unit""")
+def lowered_graph(spark, d):
+    s, e = _states(spark, d)
+    a = s.select(F.col("state").alias("src"), F.col("unit").alias("from_unit"), F.col("frames").alias("source_frames"))
+    b = s.select(F.col("state").alias("dst"), F.col("unit").alias("to_unit"))
+    names = F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").alias("to_unit"), F.col("n_name").alias("label")))  # 25 rows
+    return e.join(a, "src").join(b, "dst").join(names, "to_unit").select("edge", "from_unit", "to_unit", "source_frames", "label")
+
+
+@query(f"""WITH {_UNITS} SELECT 'loop' AS kind, state AS place, frames - 1 AS leave, CAST(0 AS BIGINT) AS enter FROM s
+UNION ALL SELECT 'departure', edge, p, CAST(0 AS BIGINT) FROM (SELECT edge, unnest(range(0, frames, 3)) AS p FROM e JOIN s ON src = state) UNION ALL SELECT 'arrival', edge, frames - 1, CAST(0 AS BIGINT) FROM e JOIN s ON dst = state""")
+def boundary_enumeration(spark, d):
+    s, e = _states(spark, d)
+    zero = F.lit(0).cast("long").alias("enter")
+    loops = s.select(F.lit("loop").alias("kind"), F.col("state").alias("place"), (F.col("frames") - 1).alias("leave"), zero)
+    out = e.join(s, F.col("src") == F.col("state")).select(F.lit("departure").alias("kind"), F.col("edge").alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(3).cast("long"))).alias("leave"), zero)
+    into = e.join(s, F.col("dst") == F.col("state")).select(F.lit("arrival").alias("kind"), F.col("edge").alias("place"), (F.col("frames") - 1).alias("leave"), zero)
+    return loops.unionByName(out).unionByName(into)
+
+
+@query(f"""WITH {_UNITS}, p AS (SELECT edge, a.frames AS n, b.frames AS m, edge % 4 AS bridge FROM e JOIN s a ON src = a.state JOIN s b ON dst = b.state WHERE edge % 10 = 0),
+x AS (SELECT edge, 0 AS part, unnest(range(0, n)) AS frame FROM p UNION ALL SELECT edge, 1, unnest(range(0, bridge)) FROM p UNION ALL SELECT edge, 2, unnest(range(0, m)) FROM p)
+SELECT edge, part, frame, row_number() OVER (PARTITION BY edge ORDER BY part, frame) - 1 AS ordinal FROM x""")
+def path_frames(spark, d):
+    s, e = _states(spark, d)
+    a, b = s.select(F.col("state").alias("src"), F.col("frames").alias("n")), s.select(F.col("state").alias("dst"), F.col("frames").alias("m"))
+    p = e.where("edge % 10 = 0").join(a, "src").join(b, "dst").withColumn("bridge", F.pmod("edge", F.lit(4)))
+    part = lambda k, n: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda f: f < n), lambda f: F.struct(F.lit(k).alias("part"), f.alias("frame")))
+    frames = F.concat(part(0, F.col("n")), part(1, F.col("bridge")), part(2, F.col("m")))
+    return p.select("edge", F.posexplode(frames).alias("ordinal", "f")).select("edge", "f.part", "f.frame", "ordinal")
+
+
+@query(f"""WITH {_UNITS}, w AS (SELECT edge, (frames - 1) - edge % frames AS wait, edge % 9 AS most, edge % 5 = 0 AS cut FROM e JOIN s ON src = state)
+SELECT edge, wait, CASE WHEN cut THEN 'restart' WHEN wait > most THEN 'reject' WHEN wait = 0 THEN 'commit' WHEN wait <= 3 THEN 'select' ELSE 'wait' END AS decision, least(greatest(wait, 1), 6) AS lead FROM w""")
+def horizon_decision(spark, d):
+    s, e = _states(spark, d)
+    wait = F.col("frames") - 1 - F.pmod("edge", "frames")
+    w = e.join(s, F.col("src") == F.col("state")).select("edge", wait.alias("wait"), F.pmod("edge", F.lit(9)).alias("most"), (F.pmod("edge", F.lit(5)) == 0).alias("cut"))
+    decision = F.when(F.col("cut"), "restart").when(F.col("wait") > F.col("most"), "reject").when(F.col("wait") == 0, "commit").when(F.col("wait") <= 3, "select").otherwise("wait")
+    return w.select("edge", "wait", decision.alias("decision"), S.edge_lead(F.col("wait"), F.lit(6)).alias("lead"))
+
+
+@query("""SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) * 5 + max(CAST(l_quantity AS BIGINT)) * 8 + count(*) * 48 + 80 AS BIGINT) AS total_bytes,
+sum(CAST(l_quantity AS BIGINT)) * 5 + max(CAST(l_quantity AS BIGINT)) * 8 + count(*) * 48 + 80 <= 1200 AS fits FROM lineitem GROUP BY l_orderkey""")
+def resource_plan(spark, d):
+    n = F.col("l_quantity").cast("long")
+    total = F.sum(n) * 5 + F.max(n) * 8 + F.count(F.lit(1)) * 48 + 80
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(total.alias("total_bytes"), (total <= 1200).alias("fits"))
+
+
+_RUN = """f AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_linenumber) - 1 AS frame FROM lineitem)"""
+
+
+@query(f"""WITH {_RUN} SELECT f.l_orderkey, f.pos, f.frame, g.pos AS shown_at, CAST((2 * CAST(f.frame AS HUGEINT) * 1000000 * 1001 + 30000) // 60000 AS BIGINT) AS start_us FROM f JOIN f g ON f.l_orderkey = g.l_orderkey AND f.pos - 1 = g.frame""")
+def sample_batch(spark, d):
+    from .catalog import decoded
+
+    f = decoded(spark, d)
+    g = f.select("l_orderkey", F.col("pos").alias("shown_at"), (F.col("frame") + 1).alias("pos"))
+    return f.join(g, ["l_orderkey", "pos"]).select("l_orderkey", "pos", "frame", "shown_at", S.frame_micros("frame", 30000, 1001).alias("start_us"))
