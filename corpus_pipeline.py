@@ -14,6 +14,8 @@ from tidemark.llm import common, decontamination, langid, lines, packing, simhas
 
 #: Ids of near copies are broadcast up to this many; beyond, they are joined.
 SMALL_IDS = 500_000
+#: Remembered chunks in a worker; fewer than by default, since workers go on to hold them while other stages run.
+MEMO = 80_000
 
 
 def _tokenizer() -> str:
@@ -55,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows: one row per piece, with its ids."""
-    return packing.pack(docs, _tokenizer())
+    return packing.pack(docs, _tokenizer(), memo=MEMO)
 
 
 STAGES = [

@@ -117,12 +117,12 @@ class ChunkTokenizer:
 _encoders: dict[int, ChunkTokenizer] = {}
 
 
-def _encoder(source: str) -> ChunkTokenizer:
+def _encoder(source: str, memo: int) -> ChunkTokenizer:
     """One for each worker process, which Spark reuses from task to task."""
     key = zlib.crc32(source.encode())
-    if key not in _encoders:
+    if key not in _encoders or _encoders[key].most != memo:
         _encoders.clear()
-        _encoders[key] = ChunkTokenizer(source)
+        _encoders[key] = ChunkTokenizer(source, memo)
     return _encoders[key]
 
 
@@ -196,7 +196,7 @@ def _rows(pieces: list[tuple], open_: bool, with_ids: bool) -> pa.RecordBatch:
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_open: int = OPEN, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_open: int = OPEN, end_id: int = END_ID, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (null unless ``with_ids``)."""
     spark = common.session(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_open:
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value)
+        encoder = _encoder(model.value, memo)
         windows = Windows(TaskContext.get().partitionId() << 32, window, keep_open)
         for batch in common.slices(batches, 128):
             out = []
