@@ -112,3 +112,22 @@ def test_windowed_counts_drop_late_rows(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["n"], r["total"]) for r in spark.table("windows").collect()] == [(1, 1.0)]
+
+
+SCHEMA = {"version": str, "units": [{"id": str, "frames": int, "note?": str}]}
+
+
+def test_closed_documents(spark, tmp_path):
+    good = '{"version": "1", "units": [{"frames": 2, "id": "a"}]}'
+    bad = ['{"version": "1"}', '{"version": "1", "units": [], "more": 1}', '{"version": 1, "units": []}', '{"version": "1", "units": [{"id": "a", "frames": true}]}', '{"version": "1", "version": "2", "units": []}']
+    for k, text in enumerate([good, *bad]):
+        (tmp_path / f"{k}.json").write_text(text)
+    got = [(r["canonical"], r["error"] is None) for r in formats.read_documents(spark, str(tmp_path), SCHEMA).orderBy("path").collect()]
+    assert got == [('{"units":[{"frames":2,"id":"a"}],"version":"1"}', True)] + [(None, False)] * 5
+
+
+def test_fixed_point():
+    grow = lambda v, data: {"size": len(data)}
+    assert formats.stable({"size": 0}, formats.canonical_json, grow, 5) == ({"size": 11}, b'{"size":11}')
+    with pytest.raises(formats.FormatError):
+        formats.stable(0, formats.canonical_json, lambda v, d: v + 1, 5)

@@ -202,3 +202,64 @@ def verified(df: DataFrame, content: str, digest: str) -> tuple[DataFrame, DataF
     """Rows whose SHA-256 is as stated, and the others."""
     same = F.sha2(F.col(content).cast("binary"), 256) == F.col(digest)
     return df.where(same), df.where(~same | same.isNull())
+
+
+# --- closed schemas and fixed points
+
+#: Kinds of a closed schema: a dict of name -> kind (a trailing ? marks an optional name), [kind] for lists, or a type.
+Kind = dict | list | type
+
+
+def require(value: object, kind: Kind, at: str = "$") -> object:
+    """Checks a parsed JSON value against a closed schema: no unknown key, no missing key, no other type."""
+    if isinstance(kind, dict):
+        if not isinstance(value, dict):
+            raise FormatError(f"{at} is not an object")
+        names = {k.rstrip("?"): v for k, v in kind.items()}
+        if extra := value.keys() - names.keys():
+            raise FormatError(f"{at} has unknown keys {sorted(extra)}")
+        for k, v in kind.items():
+            name = k.rstrip("?")
+            if name in value:
+                require(value[name], v, f"{at}.{name}")
+            elif not k.endswith("?"):
+                raise FormatError(f"{at}.{name} is missing")
+    elif isinstance(kind, list):
+        if not isinstance(value, list):
+            raise FormatError(f"{at} is not a list")
+        for k, x in enumerate(value):
+            require(x, kind[0], f"{at}[{k}]")
+    elif not isinstance(value, kind) or (isinstance(value, bool) and kind is not bool):
+        raise FormatError(f"{at} is not of the type {kind.__name__}")
+    return value
+
+
+def stable(value: object, encode, advance, most: int) -> tuple[object, bytes]:
+    """Repeats ``advance(value, bytes)`` until the bytes no longer change; an error after ``most`` rounds."""
+    data = encode(value)
+    for _ in range(most):
+        value = advance(value, data)
+        again = encode(value)
+        if again == data:
+            return value, data
+        data = again
+    raise FormatError(f"not stable after {most} rounds")
+
+
+def read_documents(spark: SparkSession, path: str, schema: Kind, most_bytes: int = 1 << 20) -> DataFrame:
+    """Strict JSON documents (projects, reports), a file each: (path, canonical, error)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for length, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    if length > most_bytes:
+                        raise FormatError("document is too long")
+                    out.append((canonical_json(require(parse_json(data), schema)).decode(), None))
+                except FormatError as x:
+                    out.append((None, str(x)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[k] for o in out], pa.string()) for k in range(2)]], ["path", "canonical", "error"])
+
+    return files.mapInArrow(work, "path string, canonical string, error string")
