@@ -4,7 +4,8 @@ import random
 import zlib
 
 import numpy as np
-from llm_data import words
+from llm_data import make_docs, words
+from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_fingerprint, brute_lines
 from test_models import brute_hits
 
@@ -51,3 +52,19 @@ def test_pipeline(spark, tmp_path):
     assert all(zlib.crc32(np.frombuffer(bytes(r["ids"]), "<u4").tobytes()) == r["ids_crc32"] for r in rows)
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["start"]) for r in whole if r["start"] == 0) == sorted((k, 0) for k in kept)
+
+
+def test_stages_on_nothing_and_on_odd_rows(spark, no_docs, tmp_path):
+    spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = make_docs(spark, [None, "", "a", "same text here", "same text here", "x " * 9000], lang=[None, "en", "en", None, "fr", "en"])
+    odd = odd.unionByName(odd.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumn("n_hit", F.lit(1)).withColumn("component_id", F.lit(None).cast("long")).withColumn("kept_text", F.lit("k"))
+    for docs in (no_docs, odd):
+        got, columns = docs, docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, got, str(tmp_path))
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == columns
+                got = spark.createDataFrame(rows, docs.schema)
+        assert bool(rows) == (docs is odd)
