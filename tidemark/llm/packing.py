@@ -33,7 +33,7 @@ from . import common
 WINDOW = 4096
 OPEN = 32
 END_ID = 2
-MEMO = 80_000
+MEMO = 300_000
 MERGE_WINDOWS = 256
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
