@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from llm_data import SCHEMA, make_docs, words
 from pyspark.sql import functions as F
 
@@ -125,6 +126,47 @@ def test_language_model(spark, corpus, docs, head):
         assert math.isclose(r["score"], s, rel_tol=1e-9), k
 
 
+@pytest.mark.parametrize("head", [100_000, 60])
+def test_every_repeated_word_is_clustered(spark, corpus, docs, head):
+    train = docs.where("doc_id % 7 <> 2")
+    model, table = lm.learn(train, core=20, classes=6, head=head)
+    texts = [tokens(t) for k, t in enumerate(corpus) if k % 7 != 2]
+    seen = Counter(w for t in texts for w in t if w != b"\n")
+    signed = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w, 42)).astype(np.int64))
+    of = {r["h"]: (r["n"], r["class"]) for r in table.collect()}
+    assert {signed(w): n for w, n in seen.items()} == {h: n for h, (n, _) in of.items()}
+    classes = len(model.class_n) - 1 - lm.SHAPES
+    assert all(0 <= c < classes if n >= lm.LEAST else c == -1 for n, c in of.values())
+    assert any(n >= lm.LEAST for w, n in seen.items() if w not in model.head) == (head == 60)
+    at = lambda w: classes + lm.SHAPES if w == b"\n" else c if (c := of.get(signed(w), (0, -1))[1]) >= 0 else classes + lm.shape(w)
+    assert all(at(w) == model.class_of[k] for w, k in model.ids.items())
+    for w, n in Counter(at(w) for t in texts for w in t).items():
+        assert model.class_n[w] == n
+    shapes = Counter(lm.shape(w) for w, n in seen.items() if n < lm.LEAST)
+    got = by_id(lm.score(docs, model, table).collect())
+    for k, t in enumerate(corpus):
+        own, s = [b"\n", *tokens(t)], 0.0
+        for a, b in zip(own, own[1:], strict=False):
+            y = at(b)
+            s += model.log_step[at(a), y]
+            if b != b"\n" and model.class_n[y]:
+                s += math.log10((seen[b] if y < classes else (1 - lm.DISCOUNT if seen[b] else lm.DISCOUNT * shapes[y - classes])) / model.class_n[y])
+        assert math.isclose(got[k]["score"], s, rel_tol=1e-9), k
+
+
+def test_sweeps_find_planted_classes_beyond_the_core(spark):
+    rng = np.random.default_rng(5)
+    noun = lambda: f"n{int(300 * rng.random() ** 2)}"
+    verb = lambda: f"v{int(300 * rng.random() ** 2)}"
+    made = make_docs(spark, [" ".join(x for _ in range(20) for x in (noun(), verb())) for _ in range(300)])
+    model, table = lm.learn(made, core=8, classes=2, head=50)
+    of = {r["h"]: r["class"] for r in table.collect() if r["n"] >= lm.LEAST}
+    kinds = {k: Counter(of.get(int(np.uint64(xxhash.xxh64_intdigest(f"{k}{j}".encode(), 42)).astype(np.int64))) for j in range(300)) for k in "nv"}
+    best = {k: max((c for c in v if c is not None), key=v.get) for k, v in kinds.items()}
+    assert best["n"] != best["v"]
+    assert all(v[best[k]] >= 0.97 * sum(n for c, n in v.items() if c is not None) for k, v in kinds.items())
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(4)
     words_n, truth = 30, np.arange(30) % 3

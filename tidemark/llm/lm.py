@@ -3,12 +3,14 @@
 p(text) = product over tokens of p(class | class before) * p(word | class). Tokens: lower-cased (A-Z) words
 ``[^\\x20\\x09-\\x0D]+`` and one end token, which is a class of its own and stands before the first word too.
 
-Classes. The ``CORE`` most frequent words get theirs by exchange clustering: each word in turn moves to
-the class where the class bigrams' likelihood is largest, until nothing moves. The next ones, up
-to ``CLASSED`` words, take one exchange step with those classes held fixed, on their counts next to
-core words. All other words share shape classes (ASCII or not, kind of the last byte), which a word
-that was never seen has too. Both bounds limit which words are clustered, not what is counted: word,
-bigram and class counts are over the whole training part.
+Classes. The ``CORE`` most frequent words start by exchange clustering in the driver: each word in turn moves
+to the class where the class bigrams' likelihood is largest, until nothing moves. Their classes and the shapes of
+all other words are the contexts in which every word of the training part is then counted, in a table with a
+row a word. Distributed sweeps over that table move each word that occurs ``LEAST`` times or more, those of the
+core too, to the class whose contexts make its own likeliest, and take the classes' contexts anew, until hardly
+anything is gained. So the clustered words grow with the vocabulary; which class a word beyond the broadcast
+ones has is looked up in a join. Words seen once stand for what was never seen: they share shape classes (ASCII or not, kind
+of the last byte) with it.
 
 Smoothing. p(c | b) is Witten-Bell: (n(b, c) + T * p(c)) / (n(b) + T), T the number of classes, and
 p(c) is add-one. p(w | c) is absolute discounting by ``DISCOUNT``; what is taken off goes to the one event
@@ -16,7 +18,7 @@ p(c) is add-one. p(w | c) is absolute discounting by ``DISCOUNT``; what is taken
 training word gives that event probability one.
 
 The vocabulary is unbounded, so only the ``HEAD`` most frequent words' counts are broadcast. For all
-others a document sends (word hash, occurrences) to the counts table in a join and gets sums back.
+others a document sends its word hashes to the table of words in a join and gets counts and classes back.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is never learnt from and
 counts as held out; repeated rows are scored and learnt from as often as they occur; without
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,13 @@ from pyspark.sql import functions as F
 from . import common
 
 CORE = 512
-CLASSED = 8192
+LEAST = 2
 CLASSES = 48
 HEAD = 100_000
 DISCOUNT = 0.7
 SWEEPS = 20
+#: The distributed sweeps end once one gains less than this share of the log-likelihood.
+GAIN = 0.002
 FLUSH = 400_000
 SHAPES = 8
 
@@ -53,7 +57,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def shape(word: bytes) -> int:
-    """Shape class of a word outside the classed ones."""
+    """Shape class of a word outside the clustered ones."""
     last = word[-1]
     end = 0 if 97 <= last <= 122 or last >= 128 else 1 if last == 46 else 2 if last == 44 else 3
     return 4 * (not word.isascii()) + end
@@ -79,38 +83,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pairs(docs: DataFrame, ids: dict[bytes, int], n_ids: int, n_right: int, left_of: np.ndarray, right_of: np.ndarray, symmetric: bool) -> np.ndarray:
-    """Counts of (left_of[id before], right_of[id]) over all adjacent tokens of all documents, the ends included.
+def _pairs(docs: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
+    """Counts of (id before, id) over all adjacent tokens of all documents, the ends included.
 
-    ``ids`` maps words; other words have the ids n_ids + shape, the end has the last. With ``symmetric`` the
-    pairs (left_of[id], right_of[id before]) are counted into a second table."""
+    ``ids`` maps words; other words have the ids len(ids) + shape, the end has the last."""
     spark = common.session(docs)
-    given = spark.sparkContext.broadcast((ids, left_of, right_of))
-    rows_left = int(left_of.max()) + 1
+    given, first = spark.sparkContext.broadcast(ids), len(ids)
+    size = first + SHAPES + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, left, right = given.value
-        end = n_ids + SHAPES
-        sums = np.zeros((2 if symmetric else 1, rows_left * n_right), np.int64)
-        get = table.get
+        get, end = given.value.get, first + SHAPES
+        sums = np.zeros(size * size, np.int64)
         for batch in common.slices(batches):
             seq = [end]
             for text in common.as_bytes(batch.column(0)):
-                seq += [k if (k := get(w)) is not None else n_ids + shape(w) for w in tokens(text)]
+                seq += [k if (k := get(w)) is not None else first + shape(w) for w in tokens(text)]
                 seq.append(end)
             at = np.array(seq, np.int64)
-            for k, (a, b) in enumerate(((at[:-1], at[1:]), (at[1:], at[:-1]))[: len(sums)]):
-                cells = left[a] * n_right + right[b]
-                keep = (left[a] >= 0) & (right[b] >= 0)
-                sums[k] += np.bincount(cells[keep], minlength=sums.shape[1])
-        for k in range(len(sums)):
-            got = np.flatnonzero(sums[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), k)), pa.array(got), pa.array(sums[k, got])], ["side", "cell", "n"])
+            sums += np.bincount(at[:-1] * size + at[1:], minlength=len(sums))
+        got = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[got])], ["cell", "n"])
 
-    found = docs.select("text").mapInArrow(work, "side long, cell long, n long").groupBy("side", "cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2 if symmetric else 1, rows_left * n_right), np.int64)
-    out[found.column(0).to_numpy(), found.column(1).to_numpy()] = found.column(2).to_numpy()
-    return out.reshape(len(out), rows_left, n_right)
+    return _table(docs.select("text").mapInArrow(work, "cell long, n long"), size)
+
+
+def _table(cells: DataFrame, size: int) -> np.ndarray:
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -166,14 +167,187 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS)
     return of[:words]
 
 
+def _contexts(train: DataFrame, core: dict[bytes, int], classes: int, only: set[bytes] | None, least: int) -> DataFrame:
+    """(h long, n long, codes array<short>, ns array<long>): how often each word stands before and after which context.
+
+    Contexts: the core words' classes, other words' shapes, the end. Code c is 'before context c', ``size`` + c is
+    'after context c'. Words with n < ``least`` have empty arrays; ``only`` leaves out all words but its own."""
+    spark = common.session(train)
+    given = spark.sparkContext.broadcast((core, only))
+    size = classes + SHAPES + 1
+    wide = 2 * size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = given.value
+        words: dict[bytes, int] = {}
+        around: list[int] = []
+        cells: list[np.ndarray] = []
+
+        def begin() -> None:
+            cells.clear()
+            words.clear()
+            around[:] = [size - 1]
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *cells]), return_counts=True)
+            names = [b"", *words]
+            if wanted is not None:
+                keep = np.array([w in wanted for w in names])[keys // wide]
+                keys, n = keys[keep], n[keep]
+            at, starts = np.unique(keys // wide, return_index=True)
+            h = np.array([xxhash.xxh64_intdigest(names[k], 42) for k in at.tolist()], np.uint64).view(np.int64)
+            return _listed(h, np.append(starts, len(keys)), keys % wide, n)
+
+        begin()
+        filled = 0
+        for batch in common.slices(batches, 128):
+            seq = [0]
+            for text in common.as_bytes(batch.column(0)):
+                for w in tokens(text):
+                    k = words.get(w)
+                    if k is None:
+                        k = words[w] = len(words) + 1
+                        c = known.get(w)
+                        around.append(classes + shape(w) if c is None else c)
+                    seq.append(k)
+                seq.append(0)
+            at, c = np.array(seq, np.int64), np.array(around, np.int64)
+            for cell, own in ((at[:-1] * wide + c[at[1:]], at[:-1]), (at[1:] * wide + size + c[at[:-1]], at[1:])):
+                cells.append(cell[own > 0])
+            filled += 2 * len(seq)
+            if len(words) > FLUSH or filled > 10 * FLUSH:
+                yield out()
+                begin()
+                filled = 0
+        yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 10_000:
+                done, rest = _merged(held, size, least, False)
+                yield done
+                held, rows = [rest], 0
+        if held:
+            yield _merged(held, size, least, True)[0]
+
+    counted = train.select("text").mapInArrow(count, "h long, codes array<short>, ns array<int>")
+    return common.written(counted.repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, n long, codes array<short>, ns array<long>"), "lm-contexts")
+
+
+def _listed(h: np.ndarray, starts: np.ndarray, codes: np.ndarray, ns: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(v, t)) for v, t in ((codes, pa.int16()), (ns, pa.int32() if n is None else pa.int64()))]
+    names = ["h", *(["n"] if n is not None else []), "codes", "ns"]
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *([pa.array(n, pa.int64())] if n is not None else []), *lists], names)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each list, all values)."""
+    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+
+
+def _merged(held: list[pa.RecordBatch], size: int, least: int, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """Rows of one word, which lie together, as one; the last word's rows are given back unless ``last``."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    batch = pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], schema=table.schema)
+    h = batch.column(0).to_numpy()
+    rest = None
+    if not last:
+        end = int(np.flatnonzero(h == h[-1])[0])
+        rest, batch, h = batch.slice(end), batch.slice(0, end), h[:end]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    lengths, codes = _flat(batch.column(1))
+    ns = _flat(batch.column(2))[1].astype(np.int64)
+    keys, place = np.unique(np.repeat(word, lengths) * (2 * size) + codes, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, place, ns)
+    of, code = keys // (2 * size), keys % (2 * size)
+    n = np.zeros(len(first), np.int64)
+    np.add.at(n, of[code < size], sums[code < size])
+    keep = n[of] >= least
+    of, code, sums = of[keep], code[keep], sums[keep]
+    starts = np.searchsorted(of, np.arange(len(first) + 1))
+    return _listed(h[first], starts, code, sums, n), rest
+
+
+def _nearest(batch: pa.RecordBatch, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each row or -1, its log-likelihood; row, code and count of each cell)."""
+    lengths, codes = _flat(batch.column(2))
+    ns = _flat(batch.column(3))[1].astype(np.float64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    of, fit = np.full(len(lengths), -1), np.zeros(len(lengths))
+    some = np.flatnonzero(lengths)
+    if len(some):
+        starts = (np.cumsum(lengths) - lengths)[some]
+        fits = np.add.reduceat(logs[codes] * ns[:, None], starts, axis=0)
+        of[some], fit[some] = fits.argmax(axis=1), fits.max(axis=1)
+    return of, fit, row, codes, ns
+
+
+def _swept(contexts: DataFrame, sums: np.ndarray, sweeps: int = SWEEPS) -> DataFrame:
+    """(h, n, class): each word's class after sweeps that begin with the classes' context counts ``sums`` (code, class)."""
+    spark = common.session(contexts)
+    wide, classes = sums.shape
+
+    def logs_of(sums: np.ndarray):
+        smooth = sums + 0.5
+        sides = smooth.reshape(2, wide // 2, classes)
+        return spark.sparkContext.broadcast(np.log(sides / sides.sum(axis=1, keepdims=True)).reshape(wide, classes))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of more rows, for fewer and larger steps of numpy."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if len(held) == 8:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    before = None
+    for _ in range(sweeps):
+        given = logs_of(sums)
+
+        def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            logs, new, total = given.value, np.zeros(wide * classes), 0.0
+            for batch in joined(batches):
+                of, fit, row, codes, ns = _nearest(batch, logs)
+                new += np.bincount(codes.astype(np.int64) * classes + of[row], ns, minlength=len(new))
+                total += float(fit.sum())
+            got = np.flatnonzero(new)
+            # the last cell is the log-likelihood
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(got, len(new))), pa.array(np.append(new[got], total))], ["cell", "n"])
+
+        cells = contexts.where("size(codes) > 0").mapInArrow(work, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        fresh = np.zeros(wide * classes + 1)
+        fresh[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+        sums, fit = fresh[:-1].reshape(wide, classes), fresh[-1]
+        if fit == 0 or (before is not None and fit - before < GAIN * abs(before)):
+            break
+        before = fit
+    given = logs_of(sums)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches):
+            of = _nearest(batch, given.value)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int16())], ["h", "n", "class"])
+
+    return common.written(contexts.mapInArrow(assign, "h long, n long, class short"), "lm-words")
+
+
 @dataclass
 class Model:
-    """All of it is bounded: CLASSED words' classes, HEAD words' counts, class tables."""
+    """All of it is bounded: HEAD words' counts and classes, class tables. Further words are in the table of words."""
 
     ids: dict[bytes, int]
     class_of: np.ndarray
     head: dict[bytes, int]
-    log_step: np.ndarray
+    log_step: np.ndarray | None
     class_n: np.ndarray
     class_v: np.ndarray
     tokens: int
@@ -193,51 +367,84 @@ class Model:
         return float(np.log10((n + 1) / (self.tokens + self.types + 1)))
 
 
-def learn(train: DataFrame, core: int = CORE, classed: int = CLASSED, classes: int = CLASSES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model and the counts table (word, n) it came from."""
+def clustered(train: DataFrame, core: int = CORE, classed: int | None = None, classes: int = CLASSES, head: int = HEAD) -> tuple[Model, DataFrame]:
+    """The model without its class bigrams, and the table of words (h, n, class), where -1 is a shape class.
+
+    ``classed`` clusters so many words instead of all that occur ``LEAST`` times."""
     counts = common.written(word_counts(train), "lm-counts")
     documents = train.count()
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     words, types = sums[0] or 0, sums[1]
     top = _most_frequent(counts, head)
-    first = [r[0] for r in top[:classed]]
+    first = [w for w, n in top if n >= LEAST] if classed is None else [w for w, _ in top[:classed]]
     core = min(core, len(first))
 
     ids = {w: k for k, w in enumerate(first[:core])}
-    every = np.arange(core + SHAPES + 1)
-    pairs = _pairs(train, ids, core, len(every), every, every, False)[0]
+    pairs = _pairs(train, ids)
     core_class = exchange(pairs, core, classes)
     classes = max(1, int(core_class.max()) + 1) if core else 1
+    size = classes + SHAPES + 1
+
+    # context counts of the core's classes, on both sides
+    own = np.concatenate([core_class, classes + np.arange(SHAPES + 1)]).astype(np.int64)
+    fixed = np.zeros((size, size))
+    np.add.at(fixed, (own[:, None].repeat(len(own), 1), own[None, :].repeat(len(own), 0)), pairs)
+    start = np.concatenate([fixed[:classes].T, fixed[:, :classes]])
+    only = None if classed is None else set(first)
+    contexts = _contexts(train, dict(zip(first[:core], core_class.tolist(), strict=True)), classes, only, LEAST if classed is None else 1)
+    table = _swept(contexts, start)
+    common.removed(contexts)
+
+    class_n, class_v = np.zeros(size), np.zeros(size)
+    for c, n, v in table.where("class >= 0").groupBy("class").agg(F.sum("n"), F.count(F.lit(1))).collect():
+        class_n[c], class_v[c] = n, v
+    tail = counts.where(F.col("n") < LEAST) if classed is None else _tail(counts, top, classed)
+    for c, n, v in tail.groupBy(_shape_column(F.col("word")).alias("s")).agg(F.sum("n"), F.count(F.lit(1))).collect():
+        class_n[classes + c], class_v[classes + c] = n, v
+    class_n[-1] = documents
 
     ids = {w: k for k, w in enumerate(first)}
-    rest = len(first) - core
-    context = np.concatenate([core_class, np.full(rest, -1), classes + np.arange(SHAPES + 1)]).astype(np.int64)
-    wanted = np.full(len(first) + SHAPES + 1, -1)
-    wanted[core : len(first)] = np.arange(rest)
-    class_of = core_class
-    if rest:
-        total = classes + SHAPES + 1
-        after, before = _pairs(train, ids, len(first), total, wanted, context, True)
-        fixed = np.zeros((total, total))
-        own = np.concatenate([core_class, classes + np.arange(SHAPES + 1)])
-        np.add.at(fixed, (own[:, None].repeat(len(own), 1), own[None, :].repeat(len(own), 0)), pairs)
-        fixed += 0.5
-        step, back = np.log(fixed / fixed.sum(axis=1, keepdims=True)), np.log(fixed / fixed.sum(axis=0, keepdims=True))
-        fit = after @ step[:classes].T + before @ back[:, :classes]
-        class_of = np.concatenate([core_class, fit.argmax(axis=1)])
-
-    total = classes + SHAPES + 1
-    of = np.concatenate([class_of, classes + np.arange(SHAPES + 1)]).astype(np.int64)
-    steps = _pairs(train, ids, len(first), total, of, of, False)[0].astype(np.float64)
+    class_of = np.zeros(len(first), np.int64)
+    if first:
+        found = table.where(F.col("n") >= top[len(first) - 1][1]).toArrow()
+        of = dict(zip(found.column(0).to_pylist(), found.column(2).to_pylist(), strict=True))
+        class_of = np.array([of[h] for h in np.array([xxhash.xxh64_intdigest(w, 42) for w in first], np.uint64).view(np.int64).tolist()])
+    if classed is not None:
+        table = counts.select(F.xxhash64("word").alias("h"), "n", F.lit(-1).cast("short").alias("class"))
+    return Model(ids, class_of, dict(top), None, class_n, class_v, words + documents, types + (documents > 0), documents, types <= len(top)), table
+
+
+def learn(train: DataFrame, core: int = CORE, classed: int | None = None, classes: int = CLASSES, head: int = HEAD) -> tuple[Model, DataFrame]:
+    """The model and the table of words it came from."""
+    model, table = clustered(train, core, classed, classes, head)
+    return _stepped(model, sequences(train.withColumn("_learn", F.lit(True)), model, table)), table
+
+
+def learnt_and_scored(docs: DataFrame, learnt: Column) -> tuple[Model, DataFrame]:
+    """The model of the rows where ``learnt`` is true, and ``score`` of all; the texts' classes are looked up once."""
+    learnt = F.coalesce(learnt, F.lit(False))
+    model, table = clustered(docs.where(learnt))
+    rows = sequences(docs.withColumn("_learn", learnt), model, table)
+    model = _stepped(model, rows)
+    return model, _scored(rows, model)
+
+
+def _stepped(model: Model, rows: DataFrame) -> Model:
+    """The model with the class bigrams of ``sequences`` that are learnt from."""
+    total = len(model.class_n)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(total * total, np.int64)
+        for batch in batches:
+            at = [np.frombuffer(s, np.uint16).astype(np.int64) for s in batch.column(0).to_pylist()]
+            sums += np.bincount(np.concatenate([np.zeros(0, np.int64), *(s[:-1] * total + s[1:] for s in at)]), minlength=len(sums))
+        got = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[got])], ["cell", "n"])
+
+    steps = _table(rows.where("learnt").select("seq").mapInArrow(work, "cell long, n long"), total).astype(np.float64)
     class_n = steps.sum(axis=0)
     p = (class_n + 1) / (class_n.sum() + total)
-    log_step = np.log10((steps + total * p[None, :]) / (steps.sum(axis=1, keepdims=True) + total))
-    class_v = np.zeros(total)
-    np.add.at(class_v, class_of, 1)
-    tail_v = _tail(counts, top, classed).groupBy(_shape_column(F.col("word")).alias("s")).count().collect()
-    for s, n in tail_v:
-        class_v[classes + s] += n
-    return Model(ids, class_of, dict(top), log_step, class_n, class_v, words + documents, types + (documents > 0), documents, types <= len(top)), counts
+    return replace(model, log_step=np.log10((steps + total * p[None, :]) / (steps.sum(axis=1, keepdims=True) + total)))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -275,69 +482,107 @@ def _shape_column(word: Column) -> Column:
     return end + F.when(plain, 0).otherwise(4)
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for each row."""
+def sequences(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
+    """(doc_id, learnt, n_tokens, n_known, base_score, emission, seq) for each row: ``seq`` has the tokens' classes
+    as 16-bit numbers, an end before and after; ``emission`` is the sum of log p(word | class)."""
     spark = common.session(docs)
     given = spark.sparkContext.broadcast(model)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["_learn"].alias("learnt"), docs["text"].alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = given.value
         n_classes = len(own.class_n) - 1 - SHAPES
-        end_class, first = n_classes + SHAPES, TaskContext.get().partitionId() << 40
-        get, count, step = own.ids.get, own.head.get, own.log_step
-        classes = own.class_of.tolist()
-        head: dict[bytes, tuple[float, float]] = {}
+        end, first = n_classes + SHAPES, TaskContext.get().partitionId() << 40
+        # (class, base score, emission) of the broadcast words
+        ns = np.array(list(own.head.values()), np.float64)
+        of = np.array([own.class_of[k] if (k := own.ids.get(w)) is not None else n_classes + shape(w) for w in own.head], np.int64)
+        plains = np.log10((ns + 1) / (own.tokens + own.types + 1))
+        totals = np.log10(np.where(of < n_classes, ns, ns - DISCOUNT) / own.class_n[of])
+        get = dict(zip(own.head, zip(of.tolist(), plains.tolist(), totals.tolist(), strict=True), strict=True)).get
         for batch in common.slices(batches, 128):
-            cols: list[list] = [[] for _ in range(9)]
-            for doc, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
-                words = tokens(text)
-                seq = [end_class]
-                seq += [classes[k] if (k := get(w)) is not None else n_classes + shape(w) for w in words]
-                seq.append(end_class)
-                at = np.array(seq)
-                total = float(step[at[:-1], at[1:]].sum())
-                plain, known = own.base(own.documents), 1 if own.documents else 0
-                hashes, times, shapes = [], [], []
-                for w, n in Counter(words).items():
-                    got = head.get(w)
-                    if got is None:
-                        c = count(w)
-                        if c is None and not own.complete:
-                            hashes.append(xxhash.xxh64_intdigest(w, 42))
-                            times.append(n)
-                            shapes.append(shape(w))
-                            continue
-                        k = get(w)
-                        got = (own.base(c or 0), own.emission(classes[k] if k is not None else n_classes + shape(w), c or 0))
-                        if c:
-                            head[w] = got
+            cols: list[list] = [[] for _ in range(10)]
+            for doc, learnt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), strict=True):
+                seq, spots, rest = [end], [], {}
+                plain, total, known = own.base(own.documents), 0.0, 1 if own.documents else 0
+                for w in tokens(text):
+                    got = get(w)
+                    if got is not None:
+                        seq.append(got[0])
+                        plain += got[1]
+                        total += got[2]
+                        known += 1
+                        continue
+                    c = n_classes + shape(w)
+                    if own.complete:
+                        plain += own.base(0)
+                        total += own.emission(c, 0)
                     else:
-                        c = 1
-                    plain += n * got[0]
-                    total += n * got[1]
-                    known += n if c else 0
-                for col, value in zip(cols, (first, doc, len(words) + 1, known, plain, total, np.array(hashes, np.uint64).view(np.int64), times, shapes), strict=True):
+                        spots.append(len(seq))
+                        spots.append(rest.setdefault(w, len(rest)))
+                    seq.append(c)
+                seq.append(end)
+                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in rest], np.uint64).view(np.int64)
+                for col, value in zip(cols, (first, doc, learnt, len(seq) - 1, known, plain, total, np.array(seq, np.uint16).tobytes(), np.array(spots, np.int32).tobytes(), hashes), strict=True):
                     col.append(value)
                 first += 1
-            kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "hashes", "times", "shapes"])
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["row", "doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq", "spots", "hashes"])
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, hashes array<long>, times array<int>, shapes array<int>"
-    scored = base.mapInArrow(work, schema)
+    out = "doc_id long, learnt boolean, n_tokens long, n_known long, base_score double, emission double, seq binary"
+    rows = common.written(base.mapInArrow(work, "row long, " + out + ", spots binary, hashes array<long>"), "lm-rows")
     if model.complete:
-        return scored.drop("row", "hashes", "times", "shapes")
-    scored = common.written(scored, "lm-rows")
-    asked = scored.where(F.size("hashes") > 0).select("row", F.explode(F.arrays_zip("hashes", "times", "shapes")).alias("t")).select("row", F.col("t.hashes").alias("h"), F.col("t.times").alias("t"), F.col("t.shapes").alias("s"))
-    known = counts.select(F.xxhash64(F.col("word")).alias("h"), "n")
-    classes = len(model.class_n) - 1 - SHAPES
-    n = F.coalesce(F.col("n"), F.lit(0))
-    total = F.element_at(F.array(*[F.lit(float(x)) for x in model.class_n[classes:]]), F.col("s") + 1)
-    types = F.element_at(F.array(*[F.lit(float(x)) for x in model.class_v[classes:]]), F.col("s") + 1)
-    event = F.when(n > 0, n - DISCOUNT).otherwise(DISCOUNT * types) / total
-    emission = F.when(total == 0, 0.0).otherwise(F.log10(event))
-    plain = F.log10((n + 1) / F.lit(float(model.tokens + model.types + 1)))
-    sums = asked.join(known, "h", "left").groupBy("row").agg(F.sum(F.col("t") * plain).alias("b"), F.sum(F.col("t") * emission).alias("e"), F.sum(F.when(n > 0, F.col("t")).otherwise(0)).alias("k"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    joined = scored.drop("hashes", "times", "shapes").join(sums, "row", "left")
-    return joined.select("doc_id", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("e")).alias("score"))
+        return rows.drop("row", "spots", "hashes")
+    asked = rows.where(F.size("hashes") > 0).select("row", F.posexplode("hashes").alias("j", "h"))
+    found = asked.join(table, "h").groupBy("row").agg(F.collect_list(F.struct("j", "n", "class")).alias("found"))
+    both = rows.drop("hashes").join(found, "row", "left").select("doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq", "spots", "found.j", "found.n", "found.class")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = given.value
+        n_classes = len(own.class_n) - 1 - SHAPES
+        log_total = np.log10(np.maximum(own.class_n, 1))
+        unseen = np.array([own.emission(c, 0) if n_classes <= c < n_classes + SHAPES else 0.0 for c in range(len(own.class_n))])
+        size = float(own.tokens + own.types + 1)
+        for batch in common.slices(batches):
+            cols = [batch.column(k).to_pylist() for k in range(11)]
+            for r in range(batch.num_rows):
+                spots = np.frombuffer(cols[7][r], np.int32).reshape(-1, 2)
+                if not len(spots):
+                    continue
+                seq = np.frombuffer(cols[6][r], np.uint16).copy()
+                words = int(spots[:, 1].max()) + 1
+                n, of = np.zeros(words, np.int64), np.full(words, -1)
+                if cols[8][r] is not None:
+                    n[cols[8][r]], of[cols[8][r]] = cols[9][r], cols[10][r]
+                n, of = n[spots[:, 1]], of[spots[:, 1]]
+                seq[spots[of >= 0, 0]] = of[of >= 0]
+                c = seq[spots[:, 0]]
+                with np.errstate(divide="ignore"):
+                    known = np.log10(np.where(of >= 0, n, np.maximum(n - DISCOUNT, 0.1))) - log_total[c]
+                cols[3][r] += int((n > 0).sum())
+                cols[4][r] += float(np.log10((n + 1) / size).sum())
+                cols[5][r] += float(np.where(n > 0, known, unseen[c]).sum())
+                cols[6][r] = seq.tobytes()
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:7], kinds, strict=True)], ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq"])
+
+    filled = common.written(both.mapInArrow(fill, out), "lm-sequences")
+    common.removed(rows)
+    return filled
+
+
+def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) for each row."""
+    return _scored(sequences(docs.withColumn("_learn", F.lit(False)), model, table), model)
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    given = common.session(rows).sparkContext.broadcast(model.log_step)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.frombuffer(s, np.uint16) for s in batch.column(5).to_pylist()]
+            total = [float(given.value[s[:-1], s[1:]].sum()) for s in at]
+            score = pa.array(np.array(total) + batch.column(4).to_numpy(zero_copy_only=False), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), score], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return rows.select("doc_id", "n_tokens", "n_known", "base_score", "emission", "seq").mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double")

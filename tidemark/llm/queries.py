@@ -50,9 +50,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model, counts = lm.learn(docs.where(common.crc_mod(docs["doc_id"], 7) != 2))
+    model, scored = lm.learnt_and_scored(docs, common.crc_mod(docs["doc_id"], 7) != 2)
     held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(True)).alias("held_out")
-    return lm.score(docs, model, counts).select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
