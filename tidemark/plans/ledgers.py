@@ -101,8 +101,23 @@ def semantic_layers(spark, d):
 SELECT coalesce(b.name, t.name) AS name, CASE WHEN t.name IS NULL THEN 'missing' WHEN b.name IS NULL THEN 'unknown' WHEN b.v <> t.v THEN 'version' ELSE 'ok' END AS verdict FROM b FULL JOIN t ON b.name = t.name""")
 def release_set(spark, d):
     p = table(spark, d, "part")
-    side = lambda df, v: df.groupBy(F.col("p_brand").alias("name")).agg(F.max("p_size").alias(v))
-    both = side(p.where("p_partkey % 3 = 0"), "b").join(side(p.where("p_partkey % 3 = 1 AND p_size > 40"), "t"), "name", "full")
+    named = p.withColumn("name", F.col("p_brand"))
+    return _verdicts(named.where("p_partkey % 3 = 0"), named.where("p_partkey % 3 = 1 AND p_size > 40"))
+
+
+@query("""WITH p AS (SELECT concat_ws(' ', p_brand, p_name) AS name, coalesce(p_type < 'M', true) AS declared, p_size FROM part),
+b AS (SELECT name, max(p_size) AS v FROM p WHERE declared GROUP BY name), t AS (SELECT name, max(p_size) AS v FROM p WHERE NOT declared GROUP BY name)
+SELECT coalesce(b.name, t.name) AS name, CASE WHEN t.name IS NULL THEN 'missing' WHEN b.name IS NULL THEN 'unknown' WHEN b.v <> t.v THEN 'version' ELSE 'ok' END AS verdict FROM b FULL JOIN t ON b.name = t.name""")
+def release_set_whole(spark, d):
+    declared = F.coalesce(F.col("p_type") < "M", F.lit(True))
+    p = table(spark, d, "part").withColumn("name", F.concat_ws(" ", "p_brand", "p_name"))
+    return _verdicts(p.where(declared), p.where(~declared))
+
+
+def _verdicts(declared, found):
+    """(name, verdict): each name's largest size on either side."""
+    side = lambda df, v: df.groupBy("name").agg(F.max("p_size").alias(v))
+    both = side(declared, "b").join(side(found, "t"), "name", "full")
     verdict = F.when(F.col("t").isNull(), "missing").when(F.col("b").isNull(), "unknown").when(F.col("b") != F.col("t"), "version").otherwise("ok")
     return both.select("name", verdict.alias("verdict"))
 
@@ -202,18 +217,31 @@ def boundary_enumeration(spark, d):
     return loops.unionByName(out).unionByName(into)
 
 
-@query(f"""WITH {_UNITS}, p AS (SELECT edge, a.frames AS n, b.frames AS m, edge % 4 AS bridge FROM e JOIN s a ON src = a.state JOIN s b ON dst = b.state WHERE edge % 10 = 0),
-x AS (SELECT edge, 0 AS part, unnest(range(0, n)) AS frame FROM p UNION ALL SELECT edge, 1, unnest(range(0, bridge)) FROM p UNION ALL SELECT edge, 2, unnest(range(0, m)) FROM p)
-SELECT edge, part, frame, row_number() OVER (PARTITION BY edge ORDER BY part, frame) - 1 AS ordinal FROM x""")
-def path_frames(spark, d):
-    s, e = _states(spark, d)
+_FRAMES = """x AS (SELECT edge, 0 AS part, unnest(range(0, n)) AS frame FROM p UNION ALL SELECT edge, 1, unnest(range(0, bridge)) FROM p UNION ALL SELECT edge, 2, unnest(range(0, m)) FROM p)
+SELECT edge, part, frame, row_number() OVER (PARTITION BY edge ORDER BY part, frame) - 1 AS ordinal FROM x"""
+
+
+def _path_frames(s, e):
     a, b = s.select(F.col("state").alias("src"), F.col("frames").alias("n")), s.select(F.col("state").alias("dst"), F.col("frames").alias("m"))
-    p = e.where("edge % 10 = 0").join(a, "src").join(b, "dst").withColumn("bridge", F.pmod("edge", F.lit(4)))
+    p = e.join(a, "src").join(b, "dst").withColumn("bridge", F.pmod("edge", F.lit(4)))
     part = lambda k, n: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda f: f < n), lambda f: F.struct(F.lit(k).alias("part"), f.alias("frame")))
     frames = F.concat(part(0, F.col("n")), part(1, F.col("bridge")), part(2, F.col("m")))
     return p.select("edge", F.posexplode(frames).alias("ordinal", "f")).select("edge", "f.part", "f.frame", "ordinal")
 
 
+@query(f"""WITH {_UNITS}, p AS (SELECT edge, a.frames AS n, b.frames AS m, edge % 4 AS bridge FROM e JOIN s a ON src = a.state JOIN s b ON dst = b.state WHERE edge % 10 = 0),
+{_FRAMES}""")
+def path_frames(spark, d):
+    s, e = _states(spark, d)
+    return _path_frames(s, e.where("edge % 10 = 0"))
+
+
+@query(f"""WITH {_UNITS}, p AS (SELECT edge, a.frames AS n, b.frames AS m, edge % 4 AS bridge FROM e JOIN s a ON src = a.state JOIN s b ON dst = b.state),
+{_FRAMES}""")
+def path_frames_whole(spark, d):
+    return _path_frames(*_states(spark, d))
+
+
 @query(f"""WITH {_UNITS}, w AS (SELECT edge, (frames - 1) - edge % frames AS wait, edge % 9 AS most, edge % 5 = 0 AS cut FROM e JOIN s ON src = state)
 SELECT edge, wait, CASE WHEN cut THEN 'restart' WHEN wait > most THEN 'reject' WHEN wait = 0 THEN 'commit' WHEN wait <= 3 THEN 'select' ELSE 'wait' END AS decision, least(greatest(wait, 1), 6) AS lead FROM w""")
 def horizon_decision(spark, d):
