@@ -28,3 +28,19 @@ def test_release_set_has_every_name(spark):
     got = catalog.QUERIES["release_set_whole"](spark, DATA).collect()
     names = {f"{r['p_brand']} {r['p_name']}" for r in read(spark, "part").collect()}
     assert len(got) == len(names) and {r["name"] for r in got} == names
+
+
+@here
+def test_readiness_of_every_state(spark):
+    suppliers = {r["s_suppkey"] for r in read(spark, "supplier").collect()}
+    of, bridged = ({r["o_orderkey"]: r[c] for r in read(spark, "orders").collect()} for c in ("o_custkey", "o_orderstatus"))
+    customers = read(spark, "customer").collect()
+    want = {(r["c_custkey"], "own-body", r["c_custkey"]) for r in customers} | {(r["c_custkey"], "initial", r["c_nationkey"]) for r in customers if r["c_acctbal"] < 0}
+    states = {r["c_custkey"] for r in customers}
+    for r in read(spark, "lineitem").collect():
+        order, state = r["l_orderkey"], of.get(r["l_orderkey"])
+        if state in states:
+            want |= {(state, "edge", order), (state, "target-body" if r["l_suppkey"] in suppliers else "missing-target", r["l_suppkey"])}
+            want |= {(state, "transition", order)} if bridged[order] != "O" else set()
+    got = [(r["state"], r["kind"], r["id"]) for r in catalog.QUERIES["readiness_closure_whole"](spark, DATA).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -164,6 +164,23 @@ def readiness_closure(spark, d):
     return parts[0].unionByName(parts[1]).distinct()
 
 
+@query("""WITH e AS (SELECT o_custkey AS state, o_orderkey, o_orderstatus <> 'O' AS bridged, l_suppkey, s_suppkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey)
+SELECT c_custkey AS state, 'own-body' AS kind, c_custkey AS id FROM customer UNION SELECT c_custkey, 'initial', c_nationkey FROM customer WHERE c_acctbal < 0
+UNION SELECT state, 'edge', o_orderkey FROM e UNION SELECT state, 'transition', o_orderkey FROM e WHERE bridged UNION SELECT state, CASE WHEN s_suppkey IS NULL THEN 'missing-target' ELSE 'target-body' END, l_suppkey FROM e""")
+def readiness_closure_whole(spark, d):
+    """Every customer as initial state: its own units, and one hop over its orders' lines to suppliers' bodies and the orders' transitions."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("state"), "c_nationkey", "c_acctbal")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("state"), "o_orderkey", "o_orderstatus").join(c.select("state"), "state")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct()
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("there"))
+    e = o.join(lines, "o_orderkey").join(targets, "l_suppkey", "left")
+    unit = lambda kind, key, when=True: F.when(F.lit(when) if when is True else when, F.struct(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")))
+    target = F.struct(F.when(F.col("there"), "target-body").otherwise("missing-target").alias("kind"), F.col("l_suppkey").cast("long").alias("id"))
+    own = c.select("state", F.explode(F.array_compact(F.array(unit("own-body", "state"), unit("initial", "c_nationkey", F.col("c_acctbal") < 0)))).alias("u"))
+    hops = e.select("state", F.explode(F.array_compact(F.array(unit("edge", "o_orderkey"), unit("transition", "o_orderkey", F.col("o_orderstatus") != "O"), target))).alias("u"))
+    return own.unionByName(hops).select("state", "u.kind", "u.id").distinct()
+
+
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), d AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1),
 g AS (SELECT l_orderkey, max(l_linenumber) - count(DISTINCT l_linenumber) AS holes FROM f GROUP BY l_orderkey HAVING max(l_linenumber) <> count(DISTINCT l_linenumber))
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS at, 'duplicate' AS code, n FROM d UNION ALL SELECT l_orderkey, NULL, 'holes', holes FROM g""".replace(" AS at,", " AS place,"))
