@@ -44,3 +44,10 @@ def test_readiness_of_every_state(spark):
             want |= {(state, "transition", order)} if bridged[order] != "O" else set()
     got = [(r["state"], r["kind"], r["id"]) for r in catalog.QUERIES["readiness_closure_whole"](spark, DATA).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@here
+def test_probes_and_requests_cover_the_layout(spark):
+    end = catalog.laid_out(spark, DATA).selectExpr("max(off + len)").first()[0]
+    assert sorted(r["p"] for r in catalog.QUERIES["ordinal_span_whole"](spark, DATA).collect()) == list(range(0, end, 997))
+    assert sorted(r["request"] for r in catalog.QUERIES["request_overlap_whole"](spark, DATA).collect()) == list(range(-(-end // 4096)))

@@ -310,9 +310,27 @@ def transport_split(spark, d):
 @query(f"""WITH {_LAYOUT}, g AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), q AS (SELECT unnest(range(0, 2000)) * 997 AS p)
 SELECT p, g.l_orderkey, p < e AS inside FROM q ASOF JOIN g ON q.p >= g.s""")
 def ordinal_span(spark, d):
-    spans = laid_out(spark, d).groupBy("l_orderkey").agg(F.min("off").alias("p"), F.max(F.col("off") + F.col("len")).alias("e"))
+    return _spans_at(laid_out(spark, d), spark.range(2000).select((F.col("id") * 997).alias("p")))
+
+
+@query(f"""WITH {_LAYOUT}, g AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), q AS (SELECT unnest(range(0, (SELECT coalesce((max(e) + 996) // 997, 0) FROM g))) * 997 AS p)
+SELECT p, g.l_orderkey, p < e AS inside FROM q ASOF JOIN g ON q.p >= g.s""")
+def ordinal_span_whole(spark, d):
+    a, end = _written_layout(spark, d)
+    return _spans_at(a, spark.range(-(-end // 997)).select((F.col("id") * 997).alias("p")))
+
+
+def _written_layout(spark, d):
+    """The layout as a table, and the byte after its last."""
+    from ..llm import common
+
+    a = common.written(laid_out(spark, d).select("l_orderkey", "len", "off"), "layout")
+    return a, a.agg(F.max(F.col("off") + F.col("len"))).first()[0] or 0
+
+
+def _spans_at(a, probes):
+    spans = a.groupBy("l_orderkey").agg(F.min("off").alias("p"), F.max(F.col("off") + F.col("len")).alias("e"))
     band = lambda df: df.withColumn("_k", F.lit(0))
-    probes = spark.range(2000).select((F.col("id") * 997).alias("p"))
     # a hundred thousand bytes are a band; each band starts with the last span that begins before it
     wide = 100_000
     cut = spans.withColumn("_k", S.int_div("p", wide))
@@ -326,9 +344,20 @@ def ordinal_span(spark, d):
 @query(f"""WITH {_LAYOUT}, b AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), t AS (SELECT unnest(range(0, 500)) AS request), r AS (SELECT request, request * 4096 AS s, request * 4096 + 3000 AS e FROM t)
 SELECT request, count(*) AS blobs, CAST(sum(least(r.e, b.e) - greatest(r.s, b.s)) AS BIGINT) AS bytes FROM r JOIN b ON r.s < b.e AND b.s < r.e GROUP BY request""")
 def request_overlap(spark, d):
+    return _blobs_asked(laid_out(spark, d), spark.range(500))
+
+
+@query(f"""WITH {_LAYOUT}, b AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), t AS (SELECT unnest(range(0, (SELECT coalesce((max(e) + 4095) // 4096, 0) FROM b))) AS request), r AS (SELECT request, request * 4096 AS s, request * 4096 + 3000 AS e FROM t)
+SELECT request, count(*) AS blobs, CAST(sum(least(r.e, b.e) - greatest(r.s, b.s)) AS BIGINT) AS bytes FROM r JOIN b ON r.s < b.e AND b.s < r.e GROUP BY request""")
+def request_overlap_whole(spark, d):
+    a, end = _written_layout(spark, d)
+    return _blobs_asked(a, spark.range(-(-end // 4096)))
+
+
+def _blobs_asked(a, requests):
     wide = 4096
-    blobs = laid_out(spark, d).groupBy("l_orderkey").agg(F.min("off").alias("bs"), F.max(F.col("off") + F.col("len")).alias("be"))
-    asked = spark.range(500).select(F.col("id").alias("request"), (F.col("id") * wide).alias("rs"), (F.col("id") * wide + 3000).alias("re"))
+    blobs = a.groupBy("l_orderkey").agg(F.min("off").alias("bs"), F.max(F.col("off") + F.col("len")).alias("be"))
+    asked = requests.select(F.col("id").alias("request"), (F.col("id") * wide).alias("rs"), (F.col("id") * wide + 3000).alias("re"))
     bands = lambda df, s, e: df.withColumn("band", F.explode(F.sequence(S.int_div(s, wide), S.int_div(F.col(e) - 1, wide))))
     both = bands(asked, "rs", "re").join(bands(blobs, "bs", "be"), "band").where(S.ranges_intersect(F.col("rs"), F.col("re"), F.col("bs"), F.col("be")))
     once = both.where(F.col("band") == F.greatest(S.int_div("rs", wide), S.int_div("bs", wide)))
