@@ -51,3 +51,33 @@ def test_probes_and_requests_cover_the_layout(spark):
     end = catalog.laid_out(spark, DATA).selectExpr("max(off + len)").first()[0]
     assert sorted(r["p"] for r in catalog.QUERIES["ordinal_span_whole"](spark, DATA).collect()) == list(range(0, end, 997))
     assert sorted(r["request"] for r in catalog.QUERIES["request_overlap_whole"](spark, DATA).collect()) == list(range(-(-end // 4096)))
+
+
+def test_closure_follows_a_chain_to_its_end(spark):
+    from tidemark.operators import paths
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(12, 5), (20, 21)], "src long, dst long")
+    roots = spark.createDataFrame([(0,)], "node long")
+    assert sorted(r["node"] for r in paths.closure(edges, roots).collect()) == list(range(13))
+    assert paths.closure(edges, roots.limit(0)).collect() == []
+
+
+@here
+def test_cycles_and_closure_over_unfolded_keys(spark):
+    orders = [(r["o_custkey"], r["o_orderkey"]) for r in read(spark, "orders").collect()]
+    seen, todo = set(), [r["c_custkey"] for r in read(spark, "customer").where("c_nationkey = 7").collect()]
+    while todo:
+        if (node := todo.pop()) not in seen:
+            seen.add(node)
+            todo += [b for a, b in orders if a == node]
+    assert {r["node"] for r in catalog.QUERIES["import_closure_whole"](spark, DATA).collect()} == seen
+    step = {}
+    for a, b in orders:
+        step[a] = min(b, step.get(a, b))
+    cycles = set()
+    for a in step:
+        b, n = step[a], 0
+        while b != a and b in step and n < len(step):
+            b, n = step[b], n + 1
+        cycles |= {a} if b == a else set()
+    assert {r["node"] for r in catalog.QUERIES["completion_cycle_whole"](spark, DATA).collect()} == cycles

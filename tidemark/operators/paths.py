@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm import common
+
 
 def functional_cycles(edges: DataFrame, nodes: int) -> DataFrame:
     """(node): nodes on cycles of a graph (src, dst) with out-degree one at most and ``nodes`` nodes or fewer.
 
     Pointer doubling: after 2^k >= nodes steps every walk that has not ended stands on a cycle, and each node of
     a cycle is where some walk stands."""
-    walk = edges.select("src", "dst")
+    walk = common.written(edges.select("src", "dst"), "walk")
     for _ in range(max(1, nodes.bit_length())):
-        walk = walk.alias("a").join(walk.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        walk = common.written(walk.alias("a").join(walk.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")), "walk")
     return walk.select(F.col("dst").alias("node")).distinct()
 
 
@@ -30,6 +32,17 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): all that ``roots`` (node) reach over (src, dst), themselves included; ends when a step finds nothing new."""
+    edges = common.written(edges.select("src", "dst").distinct(), "edges")
+    seen = front = common.written(roots.select("node").distinct(), "seen")
+    while not front.isEmpty():
+        found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = common.written(found.join(seen, "node", "left_anti"), "front")
+        seen = seen.unionByName(front)
+    return common.written(seen, "seen")
+
+
 def heaviest_window(units: dict[str, list[tuple[int, int]]], after: dict[str, list[str]], limit: int) -> int:
     """Most bytes on a decode path that shows at most ``limit`` frames.
 

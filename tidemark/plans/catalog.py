@@ -669,6 +669,23 @@ def import_closure(spark, d):
     return paths.reachable(e, spark.range(1).select(F.lit(7).cast("long").alias("node")), 3)
 
 
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS src, min(o_orderkey) AS dst FROM orders GROUP BY o_custkey),
+w(a, b) AS (SELECT src, dst FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON w.b = e.src) SELECT DISTINCT a AS node FROM w WHERE a = b""")
+def completion_cycle_whole(spark, d):
+    from ..operators import paths
+
+    e = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("src")).agg(F.min("o_orderkey").alias("dst"))
+    return paths.functional_cycles(e, e.count())
+
+
+@query("""WITH RECURSIVE w(node) AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7 UNION SELECT o_orderkey FROM w JOIN orders ON node = o_custkey) SELECT node FROM w""")
+def import_closure_whole(spark, d):
+    from ..operators import paths
+
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return paths.closure(e, table(spark, d, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("node")))
+
+
 @query()
 def canonical_props(spark, d):
     from ..sources import formats
