@@ -81,3 +81,12 @@ def test_cycles_and_closure_over_unfolded_keys(spark):
             b, n = step[b], n + 1
         cycles |= {a} if b == a else set()
     assert {r["node"] for r in catalog.QUERIES["completion_cycle_whole"](spark, DATA).collect()} == cycles
+
+
+def test_edge_lead_plan(spark):
+    from tidemark.functions import scalars as S
+
+    rows = spark.createDataFrame([(0, 2), (0, 1), (1, 2), (4, 5), (5, 5), (6, 6), (30, 6)], "t long, a long")
+    got = [tuple(r["p"]) for r in rows.select(S.edge_lead_plan("t", "a", 6).alias("p")).collect()]
+    body, bridge = "target-body", "bridge"
+    assert got == [(body, 2, 0, True), (body, 2, 1, False), (bridge, 2, 0, True), (bridge, 5, 0, True), (bridge, 6, 1, False), (bridge, 6, 0, True), (bridge, 6, 0, True)]

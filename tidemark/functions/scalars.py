@@ -132,6 +132,19 @@ def edge_lead(transition_frames: Column, ring: Column) -> Column:
     return F.least(F.greatest(transition_frames, F.lit(1)), ring)
 
 
+def required_edge_lead(transition_frames: Column | str, ring: Column | str | int) -> Column:
+    """Consecutive frames an edge needs: its transition and the target's entry, two at least and the ring at most."""
+    return F.least(F.greatest(_c(transition_frames) + 1, F.lit(2)), _c(ring))
+
+
+def edge_lead_plan(transition_frames: Column | str, available: Column | str, ring: Column | str | int) -> Column:
+    """What of the required lead is missing, and what is shown first."""
+    required = required_edge_lead(transition_frames, ring)
+    missing = F.greatest(required - _c(available), F.lit(0))
+    first = F.when(_c(transition_frames) == 0, "target-body").otherwise("bridge")
+    return F.struct(first.alias("first"), required.alias("required"), missing.alias("missing"), (missing == 0).alias("ready"))
+
+
 def intrinsic_size(width: Column, height: Column, num: Column, den: Column) -> Column:
     """Display size of a picture with non-square pixels, and its aspect."""
     w = width * num / den
