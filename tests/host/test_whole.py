@@ -1,4 +1,4 @@
-"""Queries over whole tables, next to registered ones whose SQL keeps a cut."""
+"""Queries over whole tables, against plain Python."""
 
 import os
 
@@ -19,13 +19,13 @@ def test_path_frames_of_every_edge(spark):
     orders, states = read(spark, "orders"), {r[0] for r in read(spark, "customer").select("c_custkey").collect()}
     edges = {r["o_orderkey"]: (r["o_custkey"], (r["o_custkey"] * 7 + r["o_orderkey"]) % 150) for r in orders.collect()}
     want = {k: sum(5 + s % 7 for s in ends) + k % 4 for k, ends in edges.items() if states.issuperset(ends)}
-    assert {r["edge"]: r["count"] for r in catalog.QUERIES["path_frames_whole"](spark, DATA).groupBy("edge").count().collect()} == want
+    assert {r["edge"]: r["count"] for r in catalog.QUERIES["path_frames"](spark, DATA).groupBy("edge").count().collect()} == want
     assert any(k % 10 for k in want)
 
 
 @here
 def test_release_set_has_every_name(spark):
-    got = catalog.QUERIES["release_set_whole"](spark, DATA).collect()
+    got = catalog.QUERIES["release_set"](spark, DATA).collect()
     names = {f"{r['p_brand']} {r['p_name']}" for r in read(spark, "part").collect()}
     assert len(got) == len(names) and {r["name"] for r in got} == names
 
@@ -42,15 +42,15 @@ def test_readiness_of_every_state(spark):
         if state in states:
             want |= {(state, "edge", order), (state, "target-body" if r["l_suppkey"] in suppliers else "missing-target", r["l_suppkey"])}
             want |= {(state, "transition", order)} if bridged[order] != "O" else set()
-    got = [(r["state"], r["kind"], r["id"]) for r in catalog.QUERIES["readiness_closure_whole"](spark, DATA).collect()]
+    got = [(r["state"], r["kind"], r["id"]) for r in catalog.QUERIES["readiness_closure"](spark, DATA).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
 @here
 def test_probes_and_requests_cover_the_layout(spark):
     end = catalog.laid_out(spark, DATA).selectExpr("max(off + len)").first()[0]
-    assert sorted(r["p"] for r in catalog.QUERIES["ordinal_span_whole"](spark, DATA).collect()) == list(range(0, end, 997))
-    assert sorted(r["request"] for r in catalog.QUERIES["request_overlap_whole"](spark, DATA).collect()) == list(range(-(-end // 4096)))
+    assert sorted(r["p"] for r in catalog.QUERIES["ordinal_span"](spark, DATA).collect()) == list(range(0, end, 997))
+    assert sorted(r["request"] for r in catalog.QUERIES["request_overlap"](spark, DATA).collect()) == list(range(-(-end // 4096)))
 
 
 def test_closure_follows_a_chain_to_its_end(spark):
@@ -70,7 +70,7 @@ def test_cycles_and_closure_over_unfolded_keys(spark):
         if (node := todo.pop()) not in seen:
             seen.add(node)
             todo += [b for a, b in orders if a == node]
-    assert {r["node"] for r in catalog.QUERIES["import_closure_whole"](spark, DATA).collect()} == seen
+    assert {r["node"] for r in catalog.QUERIES["import_closure"](spark, DATA).collect()} == seen
     step = {}
     for a, b in orders:
         step[a] = min(b, step.get(a, b))
@@ -80,7 +80,7 @@ def test_cycles_and_closure_over_unfolded_keys(spark):
         while b != a and b in step and n < len(step):
             b, n = step[b], n + 1
         cycles |= {a} if b == a else set()
-    assert {r["node"] for r in catalog.QUERIES["completion_cycle_whole"](spark, DATA).collect()} == cycles
+    assert {r["node"] for r in catalog.QUERIES["completion_cycle"](spark, DATA).collect()} == cycles
 
 
 def test_edge_lead_plan(spark):

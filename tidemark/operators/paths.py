@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm import common
+from .. import tables
+
+#: Hops of a closure that one job takes.
+HOPS = 6
 
 
 def functional_cycles(edges: DataFrame, nodes: int) -> DataFrame:
@@ -17,9 +20,9 @@ def functional_cycles(edges: DataFrame, nodes: int) -> DataFrame:
 
     Pointer doubling: after 2^k >= nodes steps every walk that has not ended stands on a cycle, and each node of
     a cycle is where some walk stands."""
-    walk = common.written(edges.select("src", "dst"), "walk")
+    walk = tables.written(edges.select("src", "dst"), "walk")
     for _ in range(max(1, nodes.bit_length())):
-        walk = common.written(walk.alias("a").join(walk.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")), "walk")
+        walk = tables.written(walk.alias("a").join(walk.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")), "walk")
     return walk.select(F.col("dst").alias("node")).distinct()
 
 
@@ -32,15 +35,23 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node): all that ``roots`` (node) reach over (src, dst), themselves included; ends when a step finds nothing new."""
-    edges = common.written(edges.select("src", "dst").distinct(), "edges")
-    seen = front = common.written(roots.select("node").distinct(), "seen")
+def closure(edges: DataFrame, roots: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(node): all that ``roots`` (node) reach over (src, dst), themselves included; ends when a round finds nothing new.
+
+    A round takes ``hops`` hops in one job, so a deep graph needs depth / hops jobs; what is first met at the last of them
+    is where the next round begins."""
+    edges = tables.written(edges.select("src", "dst").distinct(), "edges")
+    seen = front = tables.written(roots.select("node").distinct(), "seen")
     while not front.isEmpty():
-        found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = common.written(found.join(seen, "node", "left_anti"), "front")
-        seen = seen.unionByName(front)
-    return common.written(seen, "seen")
+        at, met = front, []
+        for hop in range(1, hops + 1):
+            at = at.join(edges, at["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+            met.append(at.withColumn("hop", F.lit(hop)))
+        found = reduce(DataFrame.unionByName, met).groupBy("node").agg(F.min("hop").alias("hop"))
+        new = tables.written(found.join(seen, "node", "left_anti"), "front")
+        front = new.where(F.col("hop") == hops).select("node")
+        seen = seen.unionByName(new.select("node"))
+    return seen
 
 
 def heaviest_window(units: dict[str, list[tuple[int, int]]], after: dict[str, list[str]], limit: int) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import tables
 from ..functions import scalars as S
 from ..functions import stats
 from ..operators import integrity, layout, timeline
@@ -307,24 +308,16 @@ def transport_split(spark, d):
     return timeline.split_ranges(adjacent_ranges_merge(spark, d), 64)
 
 
-@query(f"""WITH {_LAYOUT}, g AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), q AS (SELECT unnest(range(0, 2000)) * 997 AS p)
-SELECT p, g.l_orderkey, p < e AS inside FROM q ASOF JOIN g ON q.p >= g.s""")
-def ordinal_span(spark, d):
-    return _spans_at(laid_out(spark, d), spark.range(2000).select((F.col("id") * 997).alias("p")))
-
-
 @query(f"""WITH {_LAYOUT}, g AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), q AS (SELECT unnest(range(0, (SELECT coalesce((max(e) + 996) // 997, 0) FROM g))) * 997 AS p)
 SELECT p, g.l_orderkey, p < e AS inside FROM q ASOF JOIN g ON q.p >= g.s""")
-def ordinal_span_whole(spark, d):
+def ordinal_span(spark, d):
     a, end = _written_layout(spark, d)
     return _spans_at(a, spark.range(-(-end // 997)).select((F.col("id") * 997).alias("p")))
 
 
 def _written_layout(spark, d):
     """The layout as a table, and the byte after its last."""
-    from ..llm import common
-
-    a = common.written(laid_out(spark, d).select("l_orderkey", "len", "off"), "layout")
+    a = tables.written(laid_out(spark, d).select("l_orderkey", "len", "off"), "layout")
     return a, a.agg(F.max(F.col("off") + F.col("len"))).first()[0] or 0
 
 
@@ -341,15 +334,9 @@ def _spans_at(a, probes):
     return found.where("_source IS NOT NULL").select("p", F.col("_source.l_orderkey").alias("l_orderkey"), (F.col("p") < F.col("_source.e")).alias("inside"))
 
 
-@query(f"""WITH {_LAYOUT}, b AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), t AS (SELECT unnest(range(0, 500)) AS request), r AS (SELECT request, request * 4096 AS s, request * 4096 + 3000 AS e FROM t)
-SELECT request, count(*) AS blobs, CAST(sum(least(r.e, b.e) - greatest(r.s, b.s)) AS BIGINT) AS bytes FROM r JOIN b ON r.s < b.e AND b.s < r.e GROUP BY request""")
-def request_overlap(spark, d):
-    return _blobs_asked(laid_out(spark, d), spark.range(500))
-
-
 @query(f"""WITH {_LAYOUT}, b AS (SELECT l_orderkey, min(off) AS s, max(off + len) AS e FROM a GROUP BY l_orderkey), t AS (SELECT unnest(range(0, (SELECT coalesce((max(e) + 4095) // 4096, 0) FROM b))) AS request), r AS (SELECT request, request * 4096 AS s, request * 4096 + 3000 AS e FROM t)
 SELECT request, count(*) AS blobs, CAST(sum(least(r.e, b.e) - greatest(r.s, b.s)) AS BIGINT) AS bytes FROM r JOIN b ON r.s < b.e AND b.s < r.e GROUP BY request""")
-def request_overlap_whole(spark, d):
+def request_overlap(spark, d):
     a, end = _written_layout(spark, d)
     return _blobs_asked(a, spark.range(-(-end // 4096)))
 
@@ -650,28 +637,9 @@ def encoded_window_dp(spark, d):
     return paths.heaviest_windows(assets, 12)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 200 AS src, min(o_orderkey % 173) OVER (PARTITION BY o_custkey % 200) AS dst FROM orders),
-w(a, b, n) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT w.a, e.dst, n + 1 FROM w JOIN e ON w.b = e.src WHERE w.b <> w.a AND n < 201)
-SELECT DISTINCT a AS node FROM w WHERE a = b""")
-def completion_cycle(spark, d):
-    from ..operators import paths
-
-    src, dst = F.pmod("o_custkey", F.lit(200)), F.pmod("o_orderkey", F.lit(173))
-    return paths.functional_cycles(table(spark, d, "orders").groupBy(src.alias("src")).agg(F.min(dst).alias("dst")), 200)
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS src, o_orderkey % 487 AS dst FROM orders WHERE o_orderpriority LIKE '1%'),
-w(node, n) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.dst, n + 1 FROM w JOIN e ON w.node = e.src WHERE n < 3) SELECT DISTINCT node FROM w""")
-def import_closure(spark, d):
-    from ..operators import paths
-
-    e = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.pmod("o_custkey", F.lit(500)).alias("src"), F.pmod("o_orderkey", F.lit(487)).alias("dst")).distinct()
-    return paths.reachable(e, spark.range(1).select(F.lit(7).cast("long").alias("node")), 3)
-
-
 @query("""WITH RECURSIVE e AS (SELECT o_custkey AS src, min(o_orderkey) AS dst FROM orders GROUP BY o_custkey),
 w(a, b) AS (SELECT src, dst FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON w.b = e.src) SELECT DISTINCT a AS node FROM w WHERE a = b""")
-def completion_cycle_whole(spark, d):
+def completion_cycle(spark, d):
     from ..operators import paths
 
     e = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("src")).agg(F.min("o_orderkey").alias("dst"))
@@ -679,7 +647,7 @@ def completion_cycle_whole(spark, d):
 
 
 @query("""WITH RECURSIVE w(node) AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7 UNION SELECT o_orderkey FROM w JOIN orders ON node = o_custkey) SELECT node FROM w""")
-def import_closure_whole(spark, d):
+def import_closure(spark, d):
     from ..operators import paths
 
     e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
