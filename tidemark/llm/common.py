@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_path, removed, shared_dir  # noqa: F401  the operators take them from here
+from ..tables import written as _written
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 512
 
-_own_dir: dict[str, str] = {}
-
-
 #: Spark's default size of Arrow batches, and what texts get instead: batches are held several
 #: times over (JVM, Python, the way back), and texts are long.
 SMALLER = {
@@ -36,52 +32,10 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` or, where that is unset, an own one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return _qualified(spark, found)
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, _own_dir[app], True)
-        spark.sparkContext.setCheckpointDir(_own_dir[app])
-    return _own_dir[app]
-
-
-def _qualified(spark: SparkSession, folder: str) -> str:
-    """With the scheme of the cluster's default file system, which readers outside the JVM do not know."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
-    spark = session(df)
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(*tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that no returned DataFrame reads any more."""
-    for table in tables:
-        spark = session(table)
-        jvm = spark.sparkContext._jvm
-        for file in table.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark deletes it once nothing refers to it."""
-    shared_dir(session(df))
-    return df.checkpoint(eager=True)
+    """``tables.written`` with batches for long texts."""
+    session(df)
+    return _written(df, name, **options)
 
 
 def carried(df: DataFrame, columns: Sequence[str]) -> Column:
