@@ -2,14 +2,15 @@
 
 A node with k shards to fill is split along the metadata dimension that is widest in it (relative to
 the whole table) at the weighted quantile floor(k/2)/k of bytes, until each leaf is one shard and so
-holds the target bytes. Quantiles are found by narrowing histograms: every round one aggregation
-counts bytes per (node, bin) for all nodes of the level and the driver gets at most nodes x ``BINS`` sums.
+holds the target bytes. A level of the tree takes two passes over small cells, whatever its number of nodes: one
+aggregation counts bytes per (node, dimension, bin), which shows what is widest and the bin with the quantile, and one
+counts bytes per range of text hashes within that bin. The driver gets at most nodes x dimensions x ``BINS`` sums.
 No node is ever gathered in a task.
 
-The order along a dimension is (value, text hash, row hash), so it is total even where a third of
-all rows share one source. Equal texts form a group; metadata of a group is the least of its rows'.
+The order along a dimension is (value, up to the bin of the quantile; within it text hash, row number), so it is total even
+where a third of all rows share one source. Equal texts form a group; metadata of a group is the least of its rows'.
 A group moves as a whole unless it weighs more than ``WHOLE`` of a shard; such a group may be cut
-between rows by the row hash, for sizes to stay near equal.
+between any two of its rows, repeated rows included, for sizes to stay near equal. At most shards / ``WHOLE`` groups weigh that much.
 
 Slots number a shard's rows from 0 without gaps: rows are counted per (shard, bucket), buckets get
 offsets, and row numbers are taken within buckets, so no task sorts a whole shard.
@@ -22,9 +23,9 @@ other than doc_id, text and the metadata named are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,7 +33,8 @@ from . import common
 
 SHARDS = 40
 OVERHEAD = 16
-BINS = 1024
+BINS = 512
+HASH_BINS = 4096
 WHOLE = 0.04
 CLOSE = 0.0005
 BUCKET_ROWS = 100_000
@@ -42,29 +44,40 @@ HASH_TOP = (1 << 62) - 1
 
 @dataclass
 class Node:
-    """A leaf (``cut`` is None) or a split: rows below the cut go to ``left``."""
+    """A leaf (``left`` is None) or a split. Left go values below ``lo``, and of those up to ``hi`` the ones whose (text hash, row hash) is below (g, r)."""
 
     shards: int
     first: int
+    box: list[tuple[int, int]]
     key: int = 0
     dim: int = 0
-    cut: tuple[int, int, int] | None = None
+    lo: int = 0
+    hi: int = -1
+    g: int = 0
+    r: int = 0
     left: Node | None = None
     right: Node | None = None
 
+    def split(self, at_g: int = 0, at_r: int = 0) -> None:
+        self.g, self.r = at_g, at_r
+        half = self.shards // 2
+        low, high = list(self.box), list(self.box)
+        if self.box:
+            a, b = self.box[self.dim]
+            low[self.dim], high[self.dim] = (a, min(b, max(self.lo - 1, self.hi))), (max(a, self.lo), b)
+        self.left, self.right = Node(half, self.first, low), Node(self.shards - half, self.first + half, high)
+
 
 @dataclass
 class Search:
-    """Where a node's quantile is: axis 0 the dimension, 1 the text hash, 2 the row hash."""
+    """Where within a bin a node's quantile is: a range of text hashes or, for one text that weighs much, of row hashes."""
 
     node: Node
     aim: float
-    lo: int
-    hi: int
-    axis: int = 0
-    fixed: list[int] = field(default_factory=list)
-    below: int = 0
-    found: bool = False
+    below: float
+    lo: int = 0
+    hi: int = HASH_TOP
+    text: int | None = None
 
 
 def _metadata(docs: DataFrame, metadata: Sequence[str]) -> list[Column]:
@@ -78,12 +91,19 @@ def _metadata(docs: DataFrame, metadata: Sequence[str]) -> list[Column]:
 
 
 def _nodes(node: Node) -> list[Node]:
-    return [node] + ([] if node.cut is None else _nodes(node.left) + _nodes(node.right))
+    return [node] + ([] if node.left is None else _nodes(node.left) + _nodes(node.right))
+
 
+def _depth(node: Node) -> int:
+    return 0 if node.left is None else 1 + max(_depth(node.left), _depth(node.right))
 
-def _lookup(values: Sequence[int], at: Column) -> Column:
-    """A literal array of at most 2 x shards entries, indexed from 0."""
-    return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), (at + 1).cast("int"))
+
+def _given(spark: SparkSession, names: str, rows: Sequence[tuple]) -> DataFrame:
+    """A few rows of longs per node of the tree, to be broadcast: at most nodes x dimensions."""
+    cols = names.split()
+    values = ", ".join(f"({', '.join(map(str, row))})" for row in rows)
+    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in cols)
+    return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(cols)})"))
 
 
 def routed(cells: DataFrame, root: Node) -> DataFrame:
@@ -91,77 +111,93 @@ def routed(cells: DataFrame, root: Node) -> DataFrame:
     nodes = _nodes(root)
     for k, n in enumerate(nodes):
         n.key = k
-    depth = lambda n: 0 if n.cut is None else 1 + max(depth(n.left), depth(n.right))
     out = cells.withColumn("node", F.lit(0).cast("long"))
-    cuts = [n.cut or (0, 0, 0) for n in nodes]
-    at = F.col("node")
-    v, g, r = (_lookup([c[k] for c in cuts], at) for k in range(3))
-    d = F.element_at("dims", (_lookup([n.dim for n in nodes], at) + 1).cast("int"))
-    below = (d < v) | ((d == v) & ((F.col("g") < g) | ((F.col("g") == g) & (F.col("r") < r))))
-    left, right = (_lookup([n.key if n.cut is None else side(n).key for n in nodes], at) for side in (lambda n: n.left, lambda n: n.right))
-    for _ in range(depth(root)):
-        out = out.withColumn("node", F.when(below, left).otherwise(right))
+    splits = [(n.key, n.dim, n.lo, n.hi, n.g, n.r, n.left.key, n.right.key) for n in nodes if n.left is not None]
+    if not splits:
+        return out
+    given = _given(common.session(cells), "k_node k_dim k_lo k_hi k_g k_r k_left k_right", splits)
+    v = F.element_at("dims", (F.col("k_dim") + 1).cast("int"))
+    below = (v < F.col("k_lo")) | ((v <= F.col("k_hi")) & ((F.col("g") < F.col("k_g")) | ((F.col("g") == F.col("k_g")) & (F.col("r") < F.col("k_r")))))
+    for _ in range(_depth(root)):
+        now = F.when(F.col("k_node").isNull(), F.col("node")).when(below, F.col("k_left")).otherwise(F.col("k_right"))
+        out = out.join(given, F.col("node") == F.col("k_node"), "left").select(*[c for c in out.columns if c != "node"], now.alias("node"))
+    return out
+
+
+def _crossing(sums: list[tuple], aim: float, run: float) -> tuple[float, tuple]:
+    """Of (bin, bytes, cells, least, greatest) the one within which ``aim`` lies, and the bytes before it."""
+    at = None
+    for at in sorted(sums):
+        if run + at[1] >= aim:
+            break
+        run += at[1]
+    else:
+        run -= at[1]
+    return run, at
+
+
+def _begin(placed: DataFrame, todo: list[Node], span: list[int], close: float) -> list[Search]:
+    """The first pass of a level: picks each node's dimension and the bin with its quantile; gives back the nodes that need the second."""
+    step = lambda a, b: max(1, -(-(b - a + 1) // BINS))
+    rows = [(n.key, d, a, step(a, b)) for n in todo for d, (a, b) in enumerate(n.box)]
+    v = F.element_at("dims", (F.col("k_dim") + 1).cast("int"))
+    met = placed.join(_given(common.session(placed), "k_node k_dim k_lo k_width", rows), F.col("node") == F.col("k_node")).select("node", F.col("k_dim").alias("dim"), F.call_function("div", v - F.col("k_lo"), F.col("k_width")).alias("bin"), "w", v.alias("v"))
+    found: dict[int, dict[int, list[tuple]]] = {n.key: {} for n in todo}
+    for node, dim, *rest in met.groupBy("node", "dim", "bin").agg(F.sum("w"), F.count(F.lit(1)), F.min("v"), F.max("v")).collect():
+        found[node].setdefault(dim, []).append(tuple(rest))
+    out = []
+    for n in todo:
+        sums = found[n.key]
+        if not sums:
+            n.split()
+            continue
+        n.dim = max(sorted(sums), key=lambda d: (max(x[4] for x in sums[d]) - min(x[3] for x in sums[d])) / span[d])
+        aim = sum(x[1] for x in sums[n.dim]) * (n.shards // 2) / n.shards
+        run, (_, weight, cells, low, high) = _crossing(sums[n.dim], aim, 0)
+        n.lo, n.hi = low, high
+        if weight <= close or cells == 1:
+            n.lo, n.hi = (high + 1, high) if 2 * (aim - run) >= weight else (low, low - 1)
+            n.split()
+        else:
+            out.append(Search(n, aim, run))
     return out
 
 
-def _narrow(placed: DataFrame, todo: list[Search], close: float) -> None:
-    """One round for all nodes: histogram bytes over each node's interval and step into the bin of its quantile."""
+def _narrow(placed: DataFrame, todo: list[Search], close: float) -> list[Search]:
+    """The second pass: steps into the range of hashes with each node's quantile; gives back the nodes whose range is still too heavy."""
     by = {s.node.key: s for s in todo}
-    width = {k: max(1, -(-(s.hi - s.lo + 1) // BINS)) for k, s in by.items()}
-    names = "n long, dim int, axis int, f0 long, f1 long, lo long, hi long, width long"
-    rows = [(k, s.node.dim, s.axis, *(s.fixed + [0, 0])[:2], s.lo, s.hi, width[k]) for k, s in by.items()]
-    values = ", ".join(f"({', '.join(map(str, row))})" for row in rows)
-    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in map(str.split, names.split(", ")))
-    given = F.broadcast(common.session(placed).sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(x.split()[0] for x in names.split(', '))})"))  # at most one row for each shard
-    v = F.element_at("dims", F.col("dim") + 1)
-    inside = ((F.col("axis") == 0) | (v == F.col("f0"))) & ((F.col("axis") < 2) | (F.col("g") == F.col("f1")))
-    key = F.when(F.col("axis") == 0, v).when(F.col("axis") == 1, F.col("g")).otherwise(F.col("r"))
-    binned = placed.join(given, placed["node"] == given["n"]).where(inside).withColumn("key", key).where("key BETWEEN lo AND hi")
-    sums: dict[int, list[tuple[int, ...]]] = {k: [] for k in by}
-    for node, step, *rest in binned.select("node", F.expr("(key - lo) div width").alias("bin"), "w", "key").groupBy("node", "bin").agg(F.sum("w"), F.min("key"), F.max("key")).collect():
-        sums[node].append((step, *rest))
+    rows = [(k, s.node.dim, s.node.lo, s.node.hi, -1 if s.text is None else s.text, s.lo, s.hi, max(1, -(-(s.hi - s.lo + 1) // HASH_BINS))) for k, s in by.items()]
+    v = F.element_at("dims", (F.col("k_dim") + 1).cast("int"))
+    key = F.when(F.col("k_text") < 0, F.col("g")).otherwise(F.col("r"))
+    met = placed.join(_given(common.session(placed), "k_node k_dim k_lo k_hi k_text k_first k_last k_width", rows), F.col("node") == F.col("k_node"))
+    met = met.where(v.between(F.col("k_lo"), F.col("k_hi")) & ((F.col("k_text") < 0) | (F.col("g") == F.col("k_text")))).withColumn("key", key).where("key BETWEEN k_first AND k_last")
+    found: dict[int, list[tuple]] = {k: [] for k in by}
+    for node, *rest in met.select("node", F.expr("(key - k_first) div k_width").alias("bin"), "w", "key").groupBy("node", "bin").agg(F.sum("w"), F.count(F.lit(1)), F.min("key"), F.max("key")).collect():
+        found[node].append(tuple(rest))
+    out = []
     for k, s in by.items():
-        run, total, lo, hi = s.below, 0, s.lo, s.hi
-        for _, total, lo, hi in sorted(sums[k]):
-            if run + total >= s.aim:
-                break
-            run += total
-        s.below, s.lo, s.hi = run, lo, hi
-        single = lo == hi
-        if total <= close or (single and s.axis == 2):
-            cut = [*s.fixed, hi + 1 if 2 * (s.aim - run) >= total else lo]
-            s.node.cut, s.found = tuple(cut + [-1] * (3 - len(cut))), True
-        elif single:
-            s.fixed.append(lo)
-            s.axis, s.lo, s.hi = s.axis + 1, 0, HASH_TOP
-
-
-def grow(cells: DataFrame, dims: int, shards: int) -> Node:
-    """The tree over ``cells``: dims (array), g, r, w (bytes)."""
-    root = Node(shards, 0)
-    span: list[int] = []
-    close = 0.0
-    while True:
+        s.below, (_, weight, cells, low, high) = _crossing(found[k], s.aim, s.below)
+        if weight <= close or cells == 1 or (low == high and s.text is not None):
+            cut = high + 1 if 2 * (s.aim - s.below) >= weight else low
+            s.node.split(*((cut, 0) if s.text is None else (s.text, cut)))
+            continue
+        if low == high:
+            s.text, low, high = low, 0, HASH_TOP
+        s.lo, s.hi = low, high
+        out.append(s)
+    return out
+
+
+def grow(cells: DataFrame, box: list[tuple[int, int]], weight: float, shards: int) -> Node:
+    """The tree over ``cells``: dims (array), g, r, w (bytes); ``box`` bounds the dimensions, ``weight`` is the sum of w."""
+    root = Node(shards, 0, box)
+    span, close = [max(1, b - a) for a, b in box], CLOSE * weight / shards
+    while level := [n for n in _nodes(root) if n.left is None and n.shards > 1]:
         placed = routed(cells, root)
-        level = [n for n in _nodes(root) if n.cut is None and n.shards > 1]
-        if not level:
-            return root
-        ends = [f(F.element_at("dims", d + 1)).alias(f"{f.__name__}_{d}") for d in range(dims) for f in (F.min, F.max)]
-        rows = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("w").alias("w"), *ends).collect()}
-        if not span:
-            span = [max(1, rows[0][f"max_{d}"] - rows[0][f"min_{d}"]) if rows else 1 for d in range(dims)]
-            close = CLOSE * (rows[0]["w"] if rows else 0) / shards
-        todo = []
-        for n in level:
-            half, r = n.shards // 2, rows.get(n.key)
-            n.left, n.right = Node(half, n.first), Node(n.shards - half, n.first + half)
-            if r is None:
-                n.cut = (0, 0, 0)
-                continue
-            n.dim = max(range(dims), key=lambda d: (r[f"max_{d}"] - r[f"min_{d}"]) / span[d])
-            todo.append(Search(n, r["w"] * half / n.shards, r[f"min_{n.dim}"], r[f"max_{n.dim}"]))
-        while open_ := [s for s in todo if not s.found]:
-            _narrow(placed, open_, close)
+        todo = _begin(placed, level, span, close)
+        while todo:
+            todo = _narrow(placed, todo, close)
+    return root
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, metadata: Sequence[str] = ("n_chars", "source", "lang", "doc_id")) -> DataFrame:
@@ -171,36 +207,41 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, metadata: Sequence[str] = (
     dims = _metadata(docs, [m for m in metadata if m in docs.columns]) or [size]
     spread = lambda c: F.shiftrightunsigned(c, 2)
     names = [f"m{k}" for k in range(len(dims))]
-    rows = docs.select(
+    rows = common.written(docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), size.alias("w"), F.crc32(F.coalesce(text, F.lit(b""))).alias("crc"),
-        spread(F.xxhash64(text)).alias("g"), spread(F.xxhash64(docs["doc_id"].cast("long"), F.lit(7))).alias("row"), *[c.alias(m) for m, c in zip(names, dims, strict=True)],
-    )
+        spread(F.xxhash64(text)).alias("g"), spread(F.xxhash64(F.monotonically_increasing_id())).alias("r"), *[c.alias(m) for m, c in zip(names, dims, strict=True)],
+    ), "shard-rows")
+    n, total, *ends = rows.agg(F.count(F.lit(1)), F.sum("w"), *[f(m) for m in names for f in (F.min, F.max)]).first()
+    heavy = WHOLE * (total or 0) / shards
     grouped = rows.groupBy("g").agg(F.sum("w").alias("w"), *[F.min(m).alias(m) for m in names])
     groups = common.written(grouped.select("g", "w", F.array(*names).alias("dims")), "shard-groups")
-    heavy = WHOLE * (groups.agg(F.sum("w")).first()[0] or 0) / shards
-    whole = groups.where(F.col("w") <= heavy).select("dims", "g", F.lit(0).cast("long").alias("r"), "w")
-    few = groups.where(F.col("w") > heavy).select("g", "dims")
-    split = rows.select("g", "w", F.col("row").alias("r")).join(few, "g").select("dims", "g", "r", "w")
-    cells = common.written(whole.unionByName(split), "shard-cells")
-    tree = grow(cells, len(dims), shards)
-    common.removed(cells)
-
-    named = rows.drop(*names).join(groups.select("g", "dims", (F.col("w") > heavy).alias("heavy")), "g")
-    placed = routed(named.withColumn("r", F.when(F.col("heavy"), F.col("row")).otherwise(F.lit(0).cast("long"))), tree)
-    shard = _lookup([n.first for n in _nodes(tree)], F.col("node")).cast("int")
-    placed = placed.select("doc_id", F.col("w").alias("size"), F.col("crc").alias("text_crc32"), "g", shard.alias("shard"))
-    placed = common.written(placed, "shard-rows")
+    few = groups.where(F.col("w") > heavy).select("g", "dims")  # shards / WHOLE rows at most
+    own = rows.join(F.broadcast(few), "g").select("g", "r", "w", "dims", "doc_id", "crc")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    whole = groups.where(F.col("w") <= heavy).select("g", zero.alias("r"), "w", "dims", none.alias("doc_id"), none.alias("crc"))
+    cells = common.written(whole.withColumn("single", F.lit(False)).unionByName(own.withColumn("single", F.lit(True))), "shard-cells")
     common.removed(groups)
-    return numbered(placed, shards)
-
-
-def numbered(placed: DataFrame, shards: int) -> DataFrame:
-    """Adds slot: gapless numbers within each shard."""
-    n = placed.count()
-    buckets = max(1, min(MOST_BUCKETS, -(-n // (shards * BUCKET_ROWS)), 1 << 12))
-    keyed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "g"), F.lit(buckets)))
+    box = list(zip(ends[::2], ends[1::2], strict=True)) if n else [(0, 0)] * len(names)
+    tree = grow(cells, box, total or 0, shards)
+
+    placed = routed(cells, tree)
+    leaves = _given(common.session(docs), "k_leaf k_shard", [(x.key, x.first) for x in _nodes(tree) if x.left is None])
+    placed = placed.join(leaves, F.col("node") == F.col("k_leaf")).withColumn("shard", F.col("k_shard").cast("int"))
+    # rows of heavy texts are placed as they are; all others take their text's shard, and no text is a hot key
+    singles = placed.where("single").select("doc_id", F.col("w").alias("size"), F.col("crc").alias("text_crc32"), "r", "shard")
+    of = placed.where("NOT single").select("g", "shard")
+    others = rows.join(of, "g").select("doc_id", F.col("w").alias("size"), F.col("crc").alias("text_crc32"), "r", "shard")
+    out = common.written(singles.unionByName(others), "shard-placed")
+    common.removed(rows, cells)
+    return numbered(out, n, shards)
+
+
+def numbered(placed: DataFrame, n: int, shards: int) -> DataFrame:
+    """Adds slot: gapless numbers within each shard. ``r`` is a hash of the row's own number."""
+    buckets = max(1, min(MOST_BUCKETS, -(-n // (shards * BUCKET_ROWS))))
+    keyed = placed.withColumn("bucket", F.pmod(F.col("r"), F.lit(buckets)))
     sizes = keyed.groupBy("shard", "bucket").count()
     # at most shards x MOST_BUCKETS rows
     offsets = sizes.withColumn("base", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("count")
-    order = W.partitionBy("shard", "bucket").orderBy("doc_id", "g")
+    order = W.partitionBy("shard", "bucket").orderBy("doc_id", "r")
     return keyed.join(F.broadcast(offsets), ["shard", "bucket"]).withColumn("slot", F.col("base") + F.row_number().over(order) - 1).select("doc_id", "size", "text_crc32", "shard", "slot")
