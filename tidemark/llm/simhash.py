@@ -4,14 +4,12 @@ Fingerprint: lower-case A-Z, words ``[^\\x20\\x09-\\x0D]+``, shingles of three w
 fewer words: the whole sequence; none: fingerprint zero), XXH64 with seed 42; a bit is 1 where more
 than half of the hashes have it.
 
-Linking works on distinct fingerprints, so copies of a text cost one row. The pivot distance table
-holds each fingerprint's Hamming distances to many reference fingerprints. Two fingerprints within
-``radius`` bits of each other differ by at most ``radius`` in every coordinate. The references are
-zero and the 64 single bits, whose coordinates determine the fingerprint's bits,
-bit i = (1 + d(x, 0) - d(x, e_i)) / 2, and ``PIVOTS`` pseudo-random ones. Coordinates alone give no
-equality to join on, so rows meet by the bits that the first group determines: of five blocks, two
-at least must agree. Within such a bucket the pseudo-random coordinates discard pairs by their
-maximum difference and the survivors are verified. A bucket gives back a spanning forest
+Linking works on distinct fingerprints, so copies of a text cost one row. The pivot distance table, written once,
+holds each fingerprint's Hamming distances to ``PIVOTS`` pseudo-random reference fingerprints, one byte a coordinate. Two fingerprints
+within ``radius`` bits of each other differ by at most ``radius`` in every coordinate. One coordinate lets 46 % of random pairs
+pass, so bands of coordinates give no key to join on that holds for large tables (figures in the README); rows meet by fingerprint
+bits instead: of five blocks, two at least must agree. Within such a bucket rows are sorted by their first coordinate, pairs
+whose largest coordinate difference exceeds ``radius`` are discarded, and the survivors are verified. A bucket gives back a spanning forest
 of its links, never its pairs. A bucket above ``BUCKET_ROWS`` fingerprints is dealt out again by
 sub-blocks of the remaining bits, where again some must agree, so no task gathers a hot bucket
 and no link is lost. Links become components by alternating large-star and small-star steps.
@@ -24,12 +22,13 @@ smallest id of a component (null where a component has no other); no rows give n
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -74,19 +73,21 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return common.mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Distances of each fingerprint to each reference."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, c0, c1): each fingerprint's distances to the references, eight one-byte coordinates to a long."""
+    refs = pivots()
+    far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)).cast("long"))).cast("long") for p in refs.view(np.int64)]
+    packed = [reduce(Column.bitwiseOR, [F.shiftleft(c, 8 * k) for k, c in enumerate(far[at : at + 8])]) for at in (0, 8)]
+    return fps.select("fp", packed[0].alias("c0"), packed[1].alias("c1"))
 
 
 def _block_masks(blocks: int, bits: Sequence[int] = tuple(range(64))) -> list[int]:
     return [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits), blocks)]
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of one bucket: pivots discard, exact distances verify."""
+def _forest(fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of one bucket: the pivot table's rows discard, exact distances verify."""
     n = len(fps)
-    table = pivot_table(fps, pivots())
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     parent = np.arange(n)
@@ -116,22 +117,22 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, fp), sorted by key: one bucket at a time is in memory."""
+    """Rows (k1, k2, fp, c0, c1), sorted by key: one bucket at a time is in memory."""
 
     def done(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fps = np.concatenate(parts).view(np.uint64)
-        if len(fps) > 1:
-            a, b = _forest(fps, radius)
+        rows = np.concatenate(parts)
+        if len(rows) > 1:
+            a, b = _forest(rows[:, 0].copy().view(np.uint64), rows[:, 1:].copy().view(np.int8), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     key, held = None, []
     for batch in batches:
-        k1, k2, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        k1, k2, *cols = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         if not len(k1):
             continue
         edges = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
-        for part, at in zip(np.split(fp, edges), [0, *edges], strict=True):
+        for part, at in zip(np.split(np.stack(cols, axis=1), edges), [0, *edges], strict=True):
             own = (int(k1[at]), int(k2[at]))
             if own != key and held:
                 if sum(map(len, held)) > 1:
@@ -144,10 +145,10 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
 
 
 def _keyed(rows: DataFrame, tables: list[tuple[int, int, int]]) -> DataFrame:
-    """(k1, k2, fp): each row (fp, k1) in all tables (k1 before, new k1, bits) that go on from its own."""
+    """(k1, k2, fp, c0, c1): each row (fp, k1, c0, c1) in all tables (k1 before, new k1, bits) that go on from its own."""
     values = ", ".join(f"(CAST({above} AS BIGINT), CAST({k} AS BIGINT), CAST({_signed(mask)} AS BIGINT))" for above, k, mask in tables)
     given = F.broadcast(common.session(rows).sql(f"SELECT * FROM VALUES {values} AS t(above, k, mask)"))  # 50 rows at most
-    return rows.join(given, rows["k1"] == given["above"]).select(F.col("k").alias("k1"), F.col("fp").bitwiseAND(F.col("mask")).alias("k2"), "fp")
+    return rows.join(given, rows["k1"] == given["above"]).select(F.col("k").alias("k1"), F.col("fp").bitwiseAND(F.col("mask")).alias("k2"), "fp", "c0", "c1")
 
 
 def _signed(mask: int) -> int:
@@ -158,20 +159,23 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_row
     """(a, b): links within ``radius`` bits that connect whatever all such links connect.
 
     ``fps``: distinct fingerprints in a column fp."""
+    spark = common.session(fps)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: buckets are few bytes but much work
+    table = common.written(pivot_table(fps), "simhash-pivots")
     masks = _block_masks(blocks)
     tables = [(0, k, sum(masks[i] for i in combo)) for k, combo in enumerate(combinations(range(blocks), blocks - radius))]
-    keyed = _keyed(fps.select("fp", F.lit(0).cast("long").alias("k1")), tables)
+    keyed = _keyed(table.withColumn("k1", F.lit(0).cast("long")), tables)
     found = None
     for level in range(2):
         sizes = common.written(keyed.groupBy("k1", "k2").count().where("count > 1"), "simhash-buckets")
         few = sizes.where(F.col("count") <= bucket_rows).select("k1", "k2")
-        part = keyed.join(few, ["k1", "k2"]).select("k1", "k2", "fp")
-        own = part.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lambda it, r=radius: _bucket_links(it, r), "a long, b long")
+        part = keyed.join(few, ["k1", "k2"]).select("k1", "k2", "fp", "c0", "c1")
+        own = part.repartition(tasks, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lambda it, r=radius: _bucket_links(it, r), "a long, b long")
         found = own if found is None else found.unionByName(own)
         many = sizes.where(F.col("count") > bucket_rows).select("k1", "k2")
         if not many.head(1):
             return found
-        hot = keyed.join(many, ["k1", "k2"]).select("fp", "k1")
+        hot = keyed.join(many, ["k1", "k2"]).select("fp", "k1", "c0", "c1")
         if level == 0:
             # of the bits that a hot bucket's key leaves open, radius + 1 sub-blocks, one of which must agree
             finer = []
@@ -216,18 +220,20 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if tuple(seen) == sign:
             break
         sign = tuple(seen)
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
 def near_groups(docs: DataFrame, carry: Sequence[str] = (), radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, carried, fp, component_id) for each row of ``docs``."""
+    """(doc_id, carried, fp, component_id, root) for each row of ``docs``; ``root`` names the component, also where no row of it has an id."""
     rows = common.written(fingerprints(docs, carry, shingle), "simhash-rows")
     nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-nodes")
     found = components(links(nodes.select("fp"), radius))
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = common.written(linked.join(least, "root").select("fp", "component_id"), "simhash-groups")
+    named = common.written(linked.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
     common.removed(found)
-    every = nodes.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("first_doc")).alias("component_id"))
-    return rows.join(every, "fp").select("doc_id", "carried", "fp", "component_id")
+    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("first_doc")).alias("component_id"))
+    return rows.join(every, "fp").select("doc_id", "carried", "fp", "component_id", "root")
