@@ -128,8 +128,9 @@ def fit(train: DataFrame, buckets: int = BUCKETS, calibration_rows: int = CALIBR
 def _calibrate(rows: DataFrame, model: Codes, docs: dict[str, float], most: int) -> None:
     spark = common.session(rows)
     given = spark.sparkContext.broadcast(model)
-    share = F.create_map(*[F.lit(x) for lang, n in docs.items() for x in (lang, int(1_000_000 * min(1, most / n)))])
-    part = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    # a share of the range of text hashes for each language; never nothing, however many documents a language has
+    share = F.create_map(*[F.lit(x) for lang, n in docs.items() for x in (lang, max(1, int(min(1.0, most / n) * (1 << 62))))])
+    part = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 2) < share[F.col("lang")].cast("long"))
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = given.value

@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -447,30 +448,56 @@ def _stepped(model: Model, rows: DataFrame) -> Model:
     return replace(model, log_step=np.log10((steps + total * p[None, :]) / (steps.sum(axis=1, keepdims=True) + total)))
 
 
+def _hash(word: bytes) -> int:
+    """The word's hash as Spark has it; it orders words that are equally frequent."""
+    return xxhash.xxh64_intdigest(word, 42) - (1 << 64 if xxhash.xxh64_intdigest(word, 42) >> 63 else 0)
+
+
+def _rank(row: tuple[bytes, int]) -> tuple:
+    return -row[1], _hash(row[0]), row[0]
+
+
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` words in the order (falling n, word): all whose n lies above a threshold.
-
-    The threshold comes from a histogram of log2(n) in 1/16 steps, so nothing is sorted across tasks."""
-    step = F.floor(16 * F.log2("n"))
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
-    total, least = 0, None
-    for at, n in sizes:
-        if total + n > most:
+    """The first ``most`` words in the order (falling n, hash, word), all of them where there are fewer.
+
+    The place of the cut comes from three small histograms, of log2(n) in 1/16 steps, of n within the step that holds the cut
+    and of the hash among the words with the cut's n, so nothing is sorted across tasks and ties of any number are cut exactly."""
+    sizes = lambda df, key: [tuple(r) for r in df.groupBy(key.alias("k")).count().collect()]
+    step, h = F.floor(16 * F.log2("n")), F.xxhash64("word")
+    part = F.shiftright(h, 48)
+    taken, room, rest = [], most, F.lit(True)
+    for key, falling in ((step, True), (F.col("n"), True), (part, False)):
+        least = cut = None
+        for at, n in sorted(sizes(counts.where(rest), key), reverse=falling):
+            if n > room:
+                cut = at
+                break
+            room, least = room - n, at
+        if least is not None:
+            taken.append(rest & ((key >= least) if falling else (key <= least)))
+        if cut is None:
             break
-        total, least = total + n, at
-    if least is None:
-        return []
-    found = counts.where(step >= least).toArrow()
-    return sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+        rest = rest & (key == cut)
+    found = [] if not taken else _words(counts.where(reduce(Column.__or__, taken)))
+    if cut is not None and room:
+        found += sorted(_words(counts.where(rest)), key=_rank)[:room]
+    return sorted(found, key=_rank)
+
+
+def _words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    found = counts.select("word", "n").toArrow()
+    return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
 def _tail(counts: DataFrame, top: list, most: int) -> DataFrame:
-    """Words after the first ``most`` in the order (falling n, word)."""
-    return counts.where(_after(top[min(most, len(top)) - 1])) if top else counts
+    """Words after the first ``most`` in the order (falling n, hash, word)."""
+    return counts.where(_after(top[min(most, len(top)) - 1])) if top and most else counts
 
 
 def _after(row) -> Column:
-    return (F.col("n") < row[1]) | ((F.col("n") == row[1]) & (F.col("word") > F.lit(row[0])))
+    h, word = F.xxhash64("word"), F.col("word")
+    later = (h > F.lit(_hash(row[0]))) | ((h == F.lit(_hash(row[0]))) & (word > F.lit(row[0])))
+    return (F.col("n") < row[1]) | ((F.col("n") == row[1]) & later)
 
 
 def _shape_column(word: Column) -> Column:
