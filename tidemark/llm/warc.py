@@ -47,6 +47,8 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 512
 LEVEL = 3
+#: Tasks that read archives back at most; beyond, a task reads several one after another.
+MOST_READERS = 10_000
 SMALL_ROWS = 100_000
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -326,7 +328,8 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
                 yield out(rows)
 
     files = captures.select("file").distinct()
-    return files.repartition("file").mapInArrow(work, names)
+    # a number of tasks of its own: names are few bytes, archives are not
+    return files.repartition(max(1, min(files.count(), MOST_READERS)), "file").mapInArrow(work, names)
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
