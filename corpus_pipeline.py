@@ -43,10 +43,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (rows with one id are one document; rows without id stay)."""
-    groups = simhash.near_groups(docs)
-    gone = common.written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: that with the smallest id (no id: after all others), then the smallest text hash.
+
+    Rows are told apart by id and text, so another text with the same id is judged on its own; of equal rows of a group one stays."""
+    th = F.xxhash64("text")
+    rows = simhash.near_groups(docs.select("doc_id", "text", th.alias("th")), ["th"]).select("root", "doc_id", F.col("carried.th").alias("th"))
+    keys = common.written(rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "near-keys")
+    spot = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
+    least = keys.groupBy("root").agg(F.min(spot).alias("least"))
+    judged = keys.join(least, "root").withColumn("stays", F.col("least").eqNullSafe(spot))
+    judged = common.written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("j_doc"), F.col("th").alias("j_th"), "stays"), "near-copies")
+    given = F.broadcast(judged) if judged.count() <= SMALL_IDS else judged
+    own = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], docs["doc_id"].cast("long").alias("j_id"), th.alias("j_text"))
+    both = own.join(given, own["j_id"].eqNullSafe(given["j_doc"]) & (own["j_text"] == given["j_th"]), "left")
+    back = lambda df: df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    kept = back(both.where("stays IS NULL"))
+    if not judged.where("stays").head(1):
+        return kept
+    once = both.where("stays").groupBy("j_id", "j_text").agg(F.first(F.struct(*[f"c{k}" for k in range(len(docs.columns))])).alias("row"))
+    return kept.unionByName(back(once.select("row.*")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
