@@ -332,3 +332,39 @@ def test_empty_tables(spark, no_docs):
     assert decontamination.contamination(no_docs, bench).collect() == []
     assert packing.pack(no_docs, TOKENIZERS.path("word_bpe_49k.json")).collect() == []
     assert SCHEMA.startswith("doc_id")
+
+
+@pytest.mark.parametrize("head", [1, 7, 40, 100, 700, 1000])
+def test_most_frequent_cuts_ties_exactly(spark, head):
+    rng = random.Random(3)
+    rows = [(f"w{k}".encode(), 5 if k < 600 else rng.randrange(1, 90)) for k in range(700)]
+    got = lm._most_frequent(spark.createDataFrame(rows, "word binary, n long"), head)
+    assert got == sorted(rows, key=lm._rank)[:head]
+
+
+def test_flat_vocabulary_is_classed(spark):
+    texts = [" ".join(f"w{k:03}" for k in range(at, at + 10)) for at in range(0, 300, 5)]
+    model, table = lm.clustered(make_docs(spark, texts), classes=4, head=100)
+    assert len(model.head) == len(model.class_of) == 100
+    assert table.where("class < 0").count() == table.where("n < 2").count()
+
+
+def test_sharding_cuts_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(1, "x" * 140)] * 300 + [(k, "y" * rng.randrange(20, 200)) for k in range(2, 602)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 900 and max(size.values()) - min(size.values()) <= 2 * (200 + 16)
+    for shard in range(5):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
+def test_calibration_rows_of_a_very_large_language(spark, monkeypatch):
+    seen = []
+    rows = spark.createDataFrame([(f"some words number {k}", "en") for k in range(50)] + [(f"autre texte {k}", "fr") for k in range(50)], "text string, lang string")
+    monkeypatch.setattr(langid.Codes, "weigh", lambda self, right, n: seen.append(n))
+    model = langid.fit(rows)
+    langid._calibrate(rows, model, {"en": 50.0, "fr": 1e12}, 1000)
+    assert seen[-1][0] == 50

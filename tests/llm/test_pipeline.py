@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from llm_data import make_docs, words
@@ -68,3 +69,13 @@ def test_stages_on_nothing_and_on_odd_rows(spark, no_docs, tmp_path):
                 assert out.columns == columns
                 got = spark.createDataFrame(rows, docs.schema)
         assert bool(rows) == (docs is odd)
+
+
+def test_near_dedup_judges_rows_not_ids(spark, tmp_path):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 60, 5000)) for _ in range(3))
+    rows = [(3, a)] * 3 + [(7, a), (7, b), (None, a), (None, a), (None, c), (None, c), (9, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(k, t, "j", n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, stays string, th int")
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == {(3, a): 1, (7, b): 1, (None, c): 1, (8, ""): 1}
