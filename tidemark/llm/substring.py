@@ -6,20 +6,22 @@ document with all of it, so both are cut at anchors: of the ``GRAM``-word hashes
 (leftmost) one is the window's anchor. Equal windows have equal anchors, so a window can only recur where its anchor does.
 
 1. Anchors are counted; those that occur once hold no factor.
-2. The reference: each distinct surrounding of a repeated anchor, with the fingerprints of the windows it
-   anchors, goes to the reference block of its anchor, a Spark partition. There every surrounding is matched with the whole
-   block: a window matches if its fingerprint occurs at another position. What comes out is, for
-   each surrounding, which of its windows match.
-3. Documents are parsed again: each of their anchors takes its surrounding's matches, whichever block it
-   was in. A factor is a maximal run of positions whose windows match; its length is WINDOW or more, and at its
-   boundaries the single windows decide, so factors from different blocks that meet or overlap are joined exactly.
+2. The reference: each distinct surrounding of a repeated anchor goes, with its words, to the reference block of its
+   anchor. A block is indexed by the hashes of all its ``WINDOW``-word seeds, and every surrounding in it is parsed greedily
+   against the index: from a seed that occurs at another place the factor goes on as long as the words of that source do;
+   where it ends, the seeds that run over its end are looked up one by one, since they may have other sources. A
+   hash only proposes; the words of the two places are compared. What comes out is, for each surrounding, which of its
+   windows lie in factors.
+3. Documents are parsed again: each of their anchors takes its surrounding's factors, whichever block it
+   was in; factors from different blocks that meet or overlap are joined.
 
 Counting is by occurrence (repeated documents are occurrences too). Surroundings repeated within a
-chunk of documents are merged before they are shuffled. An anchor with more than 1/``HOT_SHARE`` of all
-occurrences has its block dealt out by window fingerprint, and of a window that a chunk holds several times one
-row goes to the block, so no task takes a hot anchor or a hot window alone. The
-filter of repeated anchors that the tasks get has at most 2^``FILTER_BITS`` bits; what it lets pass wrongly is
-found not to match.
+chunk of documents are merged before they are shuffled. An anchor with more than ``HOT`` occurrences has no block, which one
+task would have to hold: its windows are counted by Spark with map-side combining, by their 128-bit hashes, and what
+they find is spread over ``SALTS`` tasks a window. The filters of repeated and of hot anchors that the tasks get have at most
+2^``FILTER_BITS`` bits each; what they let pass wrongly is found not to match, or counted the other way with the same result.
+
+Exact but for 128-bit hashes of surroundings, of hot windows and of texts, made from 128-bit hashes of words.
 
 Defined cases: null or empty text has no words; texts of fewer than WINDOW words stay; a text that
 repeats a passage within itself loses it; null and repeated ids do not matter; no rows give no rows.
@@ -31,7 +33,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,64 +44,61 @@ WINDOW = 35
 GRAM = 8
 CHUNK_BYTES = 1 << 20
 FILTER_BITS = 28
-HOT_SHARE = 2000
-HOT_LEAST = 20_000
-HOT_PARTS = 64
-BUFFER_ROWS = 50_000
+HOT = 20_000
+SALTS = 16
+BUFFER_ROWS = 25_000
+COMPARED_ROWS = 50_000
 
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _INDEX = np.uint64((1 << 28) - 1)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R^0..R^(n-1) and the inverses, modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _R), ("down", _R_INV)):
-            steps = np.full(n, base, np.uint64)
+def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0..n-1 and their inverses, modulo 2^64."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        both = []
+        for x in (_BASES[base], np.uint64(pow(int(_BASES[base]), -1, 1 << 64))):
+            steps = np.full(n, x, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+            both.append(np.cumprod(steps, dtype=np.uint64))
+        _powers[base] = (both[0], both[1])
+    return _powers[base]
 
 
-def _prefix(x: np.ndarray) -> np.ndarray:
+def _prefix(x: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * _power(len(x) + 1)[0][: len(x)], out=out[1:], dtype=np.uint64)
+    np.cumsum(x * _power(len(x) + 1, base)[0][: len(x)], out=out[1:], dtype=np.uint64)
     return out
 
 
-def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes of [start, end), wherever they lie."""
-    return (prefix[end] - prefix[start]) * _power(len(prefix))[1][start]
+    return (prefix[end] - prefix[start]) * _power(len(prefix), base)[1][start]
 
 
 class Parsed:
     """Words, windows and anchors of a chunk of documents."""
 
     def __init__(self, texts: Sequence[bytes | None], window: int = WINDOW) -> None:
-        self.buffer = b"\n".join([t or b"" for t in texts]) + b"\n"
-        b = np.frombuffer(self.buffer, np.uint8)
-        word = ~((b == 32) | ((b >= 9) & (b <= 13)))
-        step = np.diff(word.view(np.int8), prepend=np.int8(0))
-        self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        ends = np.cumsum([len(t or b"") + 1 for t in texts])
-        self.first = np.searchsorted(self.start, np.concatenate([[0], ends]))
-        self.n_words = np.diff(self.first)
-        size = (self.end - self.start).astype(np.uint64)
-        self.word = common.mix64(_between(_prefix(b.astype(np.uint64) + np.uint64(1)), self.start, self.end) + common.mix64(size))
-        self.window, n = window, len(self.start)
-        self.sums = _prefix(self.word)
+        own = [(t or b"").split() for t in texts]
+        self.words = [w for ws in own for w in ws]
+        self.n_words = np.array([len(ws) for ws in own], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.n_words)]).astype(np.int64)
+        self.window, n = window, len(self.words)
+        self.h = np.zeros(0, np.uint64)
+        self.full = (self.h, self.h)
+        self.low = self.count = self.doc = self.left = self.right = np.zeros(0, np.int64)
         if n < window:
-            self.h = self.full = np.zeros(0, np.uint64)
-            self.low = self.count = np.zeros(0, np.int64)
             return
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), np.uint64).reshape(-1, 2)
+        self.sums = [_prefix(np.ascontiguousarray(halves[:, k]), k) for k in (0, 1)]
         doc = np.repeat(np.arange(len(texts)), self.n_words)
         grams = n - GRAM + 1
         h = np.zeros(grams, np.uint64)
         odd = common.mix64(np.arange(11, 11 + GRAM, dtype=np.uint64)) | np.uint64(1)
         for k in range(GRAM):
-            h += self.word[k : k + grams] * odd[k]
+            h += halves[k : k + grams, 0] * odd[k]
         h = common.mix64(h)
         least = (h & ~_INDEX) | np.arange(grams, dtype=np.uint64)
         span, width = window - GRAM + 1, 1
@@ -112,19 +113,22 @@ class Parsed:
         new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
         anchor, self.low = anchor[new], inside[new]
         self.count = np.diff(np.concatenate([new, [len(inside)]]))
-        self.h = h[anchor]
-        left = np.maximum(self.first[doc[anchor]], anchor - (span - 1))
-        right = np.minimum(self.first[doc[anchor] + 1], anchor + window)
-        shape = ((anchor - left) * (window + 1) + (right - anchor)).astype(np.uint64)
-        self.full = common.mix64(_between(self.sums, left, right) + common.mix64(shape + np.uint64(1)))
-        self.doc = doc[anchor]
-
-    def fingerprints(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window fingerprints of the given anchors, one after another, and where each one's begin."""
+        self.h, self.doc = h[anchor], doc[anchor]
+        # the words that any window of this anchor could have
+        self.left = np.maximum(self.first[self.doc], anchor - (span - 1))
+        self.right = np.minimum(self.first[self.doc + 1], anchor + window)
+        shape = ((self.low - self.left) * (window + 1) + self.count).astype(np.uint64)
+        self.full = tuple(common.mix64(self._hash(self.left, self.right, k) + common.mix64(shape + np.uint64(1 + k))) for k in (0, 1))
+
+    def _hash(self, start: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
+        return common.mix64(_between(self.sums[half], start, end, half) + (end - start).astype(np.uint64))
+
+    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number within it, both halves of the hash) of each window of the given anchors."""
         n = self.count[rows]
-        begin = np.concatenate([[0], np.cumsum(n)])
-        s = np.repeat(self.low[rows] - begin[:-1], n) + np.arange(begin[-1])
-        return common.mix64(_between(self.sums, s, s + self.window)), begin
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s = np.repeat(self.low[rows], n) + at
+        return np.repeat(rows, n), at, self._hash(s, s + self.window, 0), self._hash(s, s + self.window, 1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, window: int) -> Iterator[tuple[pa.RecordBatch, Parsed]]:
@@ -138,30 +142,33 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, window: int) -> Iter
                 at, size = k + 1, 0
 
 
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
+
+
 def anchor_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, n) for every anchor."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _chunks(batches, 0, window):
             h, n = np.unique(own.h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([_long(h), pa.array(n)], ["h", "n"])
 
     return docs.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Filter:
-    """Two bits for each repeated anchor, and the hot anchors."""
+    """Two bits for each of some anchors (h)."""
 
-    def __init__(self, repeated: DataFrame, most_bits: int) -> None:
-        seen = repeated.agg(F.count(F.lit(1)), F.sum("n")).first()
-        self.bits = int(min(most_bits, max(10, np.ceil(np.log2(16 * max(1, seen[0]))))))
+    def __init__(self, anchors: DataFrame, most_bits: int) -> None:
+        seen = anchors.count()
+        self.bits = int(min(most_bits, max(10, np.ceil(np.log2(16 * max(1, seen))))))
         mask = (1 << self.bits) - 1
         places = F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask)))).alias("p")
-        words = repeated.select(places).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = anchors.select(places).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        self.any = words.num_rows > 0
         self.table = np.zeros(max(1, 1 << (self.bits - 6)), np.uint64)
         self.table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-        limit = max(HOT_LEAST, (seen[1] or 0) / HOT_SHARE)  # so at most HOT_SHARE anchors are hot
-        self.hot = np.sort(repeated.where(F.col("n") > limit).select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
         mask, out = np.uint64((1 << self.bits) - 1), np.ones(len(h), bool)
@@ -170,124 +177,174 @@ class Filter:
         return out
 
 
-def _binary(values: np.ndarray, begin: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((8 * begin).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _distinct(own: Parsed, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the anchors ``keep`` one for each surrounding, and how often the chunk has it."""
+    if not len(keep):
+        return keep, keep
+    both = np.stack([own.full[0][keep], own.full[1][keep]], axis=1)
+    _, one, n = np.unique(both, axis=0, return_index=True, return_counts=True)
+    return keep[one], n
 
 
 def _surroundings(docs: DataFrame, given, window: int) -> DataFrame:
-    """(part, h, full, n, shift, windows): what goes to the reference blocks."""
-
-    def rows(own: Parsed, keep: np.ndarray, n: np.ndarray, split: bool) -> pa.RecordBatch:
-        fps, begin = own.fingerprints(keep)
-        h, full, shift, part = own.h[keep], own.full[keep], np.zeros(len(keep), np.int32), own.h[keep]
-        if split:
-            times = np.diff(begin)
-            shift = (np.arange(len(fps)) - np.repeat(begin[:-1], times)).astype(np.int32)
-            h, full, n = np.repeat(h, times), np.repeat(full, times), np.repeat(n, times)
-            # a window that this chunk holds twice needs no block to match: one row stands for it there, the others go anywhere
-            _, one, of = np.unique(fps ^ common.mix64(h), return_index=True, return_inverse=True)
-            n = np.bincount(of, n).astype(np.int64)[of]
-            part, begin = common.mix64(full ^ fps), np.arange(len(fps) + 1)
-            part[one] = common.mix64(h[one] + fps[one] % np.uint64(HOT_PARTS) + np.uint64(1))
-        return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(h.view(np.int64)), pa.array(full.view(np.int64)), pa.array(n), pa.array(shift), _binary(fps, begin)], ["part", "h", "full", "n", "shift", "windows"])
+    """(h, f1, f2, n, first, count, words): what goes to the reference blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = given.value
+        repeated, hot = given.value
         for _, own in _chunks(batches, 0, window):
-            keep = np.flatnonzero(known.may_hold(own.h))
-            _, one, n = np.unique(own.full[keep] ^ (own.h[keep] * _R), return_index=True, return_counts=True)
-            keep = keep[one]
-            hot = np.isin(own.h[keep], known.hot)
-            for which, split in ((~hot, False), (hot, True)):
-                if which.any():
-                    yield rows(own, keep[which], n[which], split)
-
-    return docs.select("text").mapInArrow(work, "part long, h long, full long, n long, shift int, windows binary")
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part: whole parts at a time, which windows occur twice or more."""
-
-    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        part, h, full, n, shift = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
-        raw = [x for b in held for x in b.column(5).to_pylist()]
-        times = np.array([len(x) // 8 for x in raw])
-        fps = np.frombuffer(b"".join(raw), np.uint64)
-        row = np.repeat(np.arange(len(raw)), times)
-        key = fps ^ common.mix64(h.view(np.uint64))[row]
-        order = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        total = np.add.reduceat(n[row][order], edge)
-        twice = np.empty(len(key), bool)
-        twice[order] = np.repeat(total >= 2, np.diff(np.concatenate([edge, [len(key)]])))
-        begin = np.cumsum(times) - times
-        bit = np.arange(len(key)) - begin[row] + shift[row]
-        mask = np.add.reduceat(np.where(twice, np.int64(1) << bit, 0), begin)
-        keep = mask != 0
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(full[keep]), pa.array(mask[keep])], ["h", "full", "mask"])
+            keep = np.flatnonzero(repeated.may_hold(own.h))
+            keep, n = _distinct(own, keep[~hot.may_hold(own.h[keep])] if hot.any else keep)
+            words = [b" ".join(own.words[a:b]) for a, b in zip(own.left[keep].tolist(), own.right[keep].tolist(), strict=True)]
+            first, count = (x.astype(np.int16) for x in (own.low[keep] - own.left[keep], own.count[keep]))
+            yield pa.RecordBatch.from_arrays([_long(own.h[keep]), _long(own.full[0][keep]), _long(own.full[1][keep]), pa.array(n, pa.int64()), pa.array(first), pa.array(count), pa.array(words, pa.binary())], ["h", "f1", "f2", "n", "first", "count", "words"])
+
+    return docs.select("text").mapInArrow(work, "h long, f1 long, f2 long, n long, first short, count short, words binary")
+
+
+def _hot_windows(docs: DataFrame, given, window: int) -> DataFrame:
+    """(f1, f2, mask) of the windows of hot anchors that occur twice or more."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot = given.value
+        for _, own in _chunks(batches, 0, window):
+            keep, n = _distinct(own, np.flatnonzero(hot.may_hold(own.h)))
+            row, at, g1, g2 = own.windows(keep)
+            yield pa.RecordBatch.from_arrays([_long(own.full[0][row]), _long(own.full[1][row]), pa.array(np.repeat(n, own.count[keep]), pa.int64()), pa.array(at, pa.int64()), _long(g1), _long(g2)], ["f1", "f2", "n", "at", "g1", "g2"])
+
+    rows = docs.select("text").mapInArrow(work, "f1 long, f2 long, n long, at long, g1 long, g2 long")
+    rows = common.written(rows.groupBy("f1", "f2", "at", "g1", "g2").agg(F.sum("n").alias("n")), "rlz-hot")
+    twice = rows.groupBy("g1", "g2").agg(F.sum("n").alias("n")).where("n > 1").select("g1", "g2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("f1"), F.lit(SALTS)).cast("int")).join(twice, ["g1", "g2", "salt"])
+    return met.groupBy("f1", "f2").agg(F.bit_or(F.expr("shiftleft(1L, CAST(at AS INT))")).alias("mask"))
+
+
+def factors(ids: np.ndarray, begin: np.ndarray, first: np.ndarray, count: np.ndarray, n: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Relative Lempel-Ziv factors (row, first window, windows) of a block's surroundings.
+
+    ``ids``: word numbers of all surroundings, one after another from ``begin``; the windows of a surrounding are ``count`` from
+    its word ``first``; ``n`` is how often it occurs. A factor of k windows is a passage of k + window - 1 words."""
+    row = np.repeat(np.arange(len(count)), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = begin[row] + first[row] + at
+    seed = common.mix64(_between(_prefix(common.mix64(ids.astype(np.uint64) + np.uint64(1)), 0), start, start + window, 0))
+    order = np.argsort(seed, kind="stable")
+    # the index: places with one seed, those with equal words next to each other
+    group = np.cumsum(np.concatenate([[False], seed[order][1:] != seed[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    size = np.bincount(group, minlength=1)
+    shared = np.flatnonzero(size[group] > 1)
+    head = (np.cumsum(size) - size)[group]
+    for k in range(0, len(shared), COMPARED_ROWS):
+        part = shared[k : k + COMPARED_ROWS]
+        words = lambda place: ids[start[order[place]][:, None] + np.arange(window)]
+        other = (words(part) != words(head[part])).any(axis=1)
+        for g in np.unique(group[part[other]]).tolist():  # unequal words with one seed: told apart by the words themselves
+            members = np.flatnonzero(group == g)
+            _, own = np.unique(words(members), axis=0, return_inverse=True)
+            group[members] = group.max() + 1 + own.ravel()
+    _, group = np.unique(group, return_inverse=True)
+    total = np.bincount(group, n[row[order]], minlength=1)
+    twice, source = np.zeros(len(row), bool), np.full(len(row), -1)
+    twice[order] = total[group] > 1
+    # each place's source: the group's first place, for the first itself the second (or itself where the surrounding occurs twice)
+    by = np.lexsort((order, group))
+    edge = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]])) if len(by) else np.zeros(0, np.int64)
+    runs = np.diff(np.concatenate([edge, [len(by)]]))
+    source[order[by]] = np.repeat(order[by[edge]], runs)
+    many = runs > 1
+    source[order[by[edge[many]]]] = order[by[edge[many] + 1]]
+    # a factor goes on while the next window's source follows this window's source in the same surrounding
+    goes_on = twice[1:] & twice[:-1] & (row[1:] == row[:-1]) & (source[1:] == source[:-1] + 1) & (row[source[1:]] == row[source[:-1]])
+    ends = np.flatnonzero(twice & ~np.concatenate([goes_on, [False]])[: len(twice)])
+    begins = np.flatnonzero(twice & ~np.concatenate([[False], goes_on])[: len(twice)])
+    return list(zip(row[begins].tolist(), at[begins].tolist(), (ends - begins + 1).tolist(), strict=True))
+
+
+def _parsed_block(held: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
+    """(f1, f2, mask) of the surroundings of whole blocks that have a factor."""
+    f1, f2, n, first, count = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(1, 6))
+    lists = pc.split_pattern(pa.chunked_array([b.column(6) for b in held]).combine_chunks(), b" ")
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    begin = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+    words = lists.flatten().dictionary_encode()
+    mask = np.zeros(len(f1), np.int64)
+    for row, at, windows in factors(words.indices.to_numpy(), begin, first.astype(np.int64), count.astype(np.int64), n, window):
+        mask[row] |= ((1 << windows) - 1) << at
+    keep = mask != 0
+    return pa.RecordBatch.from_arrays([pa.array(f1[keep]), pa.array(f2[keep]), pa.array(mask[keep])], ["f1", "f2", "mask"])
+
+
+def _parsed_blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h: some whole blocks at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = batch.column(0).to_numpy()
+        h = batch.column(0).to_numpy()
         if size >= BUFFER_ROWS:
             last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
-            cut = int(np.searchsorted(part != last, True)) if part[0] == last else 0
-            cut = batch.num_rows if part[-1] == last else cut
+            cut = int(np.searchsorted(h != last, True)) if h[0] == last else 0
+            cut = batch.num_rows if h[-1] == last else cut
             if cut:
                 held.append(batch.slice(0, cut))
-            if cut < batch.num_rows:
-                yield done(held)
-                held, size = [], 0
-                batch = batch.slice(cut)
-            else:
+            if cut == batch.num_rows:
                 continue
+            yield _parsed_block(held, window)
+            held, size = [], 0
+            batch = batch.slice(cut)
         held.append(batch)
         size += batch.num_rows
     if held:
-        yield done(held)
+        yield _parsed_block(held, window)
+
+
+def _text_hash() -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2")]
 
 
 def _anchored(docs: DataFrame, given, window: int) -> DataFrame:
-    """(cid, h, full, low): each text's anchors that may repeat; ``low`` is the first window's start in its text."""
+    """(c1, c2, f1, f2, low): each text's anchors that may repeat; ``low`` is the first window's start in its text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = given.value, set()
-        for batch, own in _chunks(batches, 1, window):
-            cids = batch.column(0).to_numpy()
-            fresh = np.array([c not in seen and not seen.add(c) for c in cids.tolist()], bool)
-            if len(seen) > 1_000_000:
+        (repeated, _), seen = given.value, set()
+        for batch, own in _chunks(batches, 2, window):
+            c1, c2 = (batch.column(k).to_numpy() for k in (0, 1))
+            fresh = np.array([c not in seen and not seen.add(c) for c in zip(c1.tolist(), c2.tolist(), strict=True)], bool)
+            if len(seen) > 500_000:
                 seen.clear()
             if not len(own.h):
                 continue
-            keep = np.flatnonzero(known.may_hold(own.h) & fresh[own.doc])
+            keep = np.flatnonzero(repeated.may_hold(own.h) & fresh[own.doc])
             doc = own.doc[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(cids[doc]), pa.array(own.h[keep].view(np.int64)), pa.array(own.full[keep].view(np.int64)), pa.array(own.low[keep] - own.first[doc])], ["cid", "h", "full", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1[doc]), pa.array(c2[doc]), _long(own.full[0][keep]), _long(own.full[1][keep]), pa.array(own.low[keep] - own.first[doc])], ["c1", "c2", "f1", "f2", "low"])
 
-    return docs.select(F.xxhash64("text").alias("cid"), "text").mapInArrow(work, "cid long, h long, full long, low long")
+    return docs.select(*_text_hash(), "text").mapInArrow(work, "c1 long, c2 long, f1 long, f2 long, low long")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(cid, starts array<struct<low, mask>>): by text hash, the windows that occur elsewhere too."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
+    """(c1, c2, starts array<struct<low, mask>>): by text hash, the windows that occur elsewhere too."""
     spark = common.session(docs)
     counts = common.written(anchor_counts(docs, window).where("n > 1"), "rlz-anchors")
-    given = spark.sparkContext.broadcast(Filter(counts, filter_bits))
-    blocks = _surroundings(docs, given, window).repartition("part").sortWithinPartitions("part")
-    matches = blocks.mapInArrow(_matched, "h long, full long, mask long").groupBy("h", "full").agg(F.bit_or("mask").alias("mask"))
-    matches = common.written(matches, "rlz-matches")
-    factors = _anchored(docs, given, window).join(matches, ["h", "full"]).select("cid", F.struct("low", "mask").alias("s"))
-    return factors.groupBy("cid").agg(F.collect_set("s").alias("starts"))
-
-
-def dedup_substrings(docs: DataFrame, carry: Sequence[str] = (), window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
+    filters = Filter(counts, filter_bits), Filter(counts.where(F.col("n") > hot), filter_bits)
+    common.removed(counts)
+    given = spark.sparkContext.broadcast(filters)
+    blocks = _surroundings(docs, given, window).repartition("h").sortWithinPartitions("h")
+    found = blocks.mapInArrow(lambda it: _parsed_blocks(it, window), "f1 long, f2 long, mask long")
+    if filters[1].any:
+        found = found.unionByName(_hot_windows(docs, given, window))
+    matches = common.written(found.groupBy("f1", "f2").agg(F.bit_or("mask").alias("mask")), "rlz-matches")
+    met = _anchored(docs, given, window).join(matches, ["f1", "f2"]).select("c1", "c2", F.struct("low", "mask").alias("s"))
+    return met.groupBy("c1", "c2").agg(F.collect_set("s").alias("starts"))
+
+
+def dedup_substrings(docs: DataFrame, carry: Sequence[str] = (), window: int = WINDOW, filter_bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
     """(doc_id, carried, n_words, n_removed, factors array<struct<start,end>>, kept_text) for each row of ``docs``.
 
     ``factors``: the removed word ranges; kept words are joined by one blank."""
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), common.carried(docs, carry).alias("carried"))
-    starts = repeated_windows(base, window, filter_bits)
-    both = base.withColumn("cid", F.xxhash64("text")).join(starts, "cid", "left").select("doc_id", "text", "carried", "starts")
+    starts = repeated_windows(base, window, filter_bits, hot)
+    both = base.select("*", *_text_hash()).join(starts, ["c1", "c2"], "left").select("doc_id", "text", "carried", "starts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(window)
