@@ -107,11 +107,11 @@ def _given(spark: SparkSession, names: str, rows: Sequence[tuple]) -> DataFrame:
 
 
 def routed(cells: DataFrame, root: Node) -> DataFrame:
-    """Adds node: the key of the leaf that a row (dims array, g, r) belongs to."""
+    """Sets node, 0 before, to the key of the leaf that a row (dims array, g, r, node) belongs to."""
     nodes = _nodes(root)
     for k, n in enumerate(nodes):
         n.key = k
-    out = cells.withColumn("node", F.lit(0).cast("long"))
+    out = cells
     splits = [(n.key, n.dim, n.lo, n.hi, n.g, n.r, n.left.key, n.right.key) for n in nodes if n.left is not None]
     if not splits:
         return out
@@ -219,7 +219,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, metadata: Sequence[str] = (
     own = rows.join(F.broadcast(few), "g").select("g", "r", "w", "dims", "doc_id", "crc")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     whole = groups.where(F.col("w") <= heavy).select("g", zero.alias("r"), "w", "dims", none.alias("doc_id"), none.alias("crc"))
-    cells = common.written(whole.withColumn("single", F.lit(False)).unionByName(own.withColumn("single", F.lit(True))), "shard-cells")
+    cells = common.written(whole.withColumn("single", F.lit(False)).unionByName(own.withColumn("single", F.lit(True))).withColumn("node", zero), "shard-cells")
     common.removed(groups)
     box = list(zip(ends[::2], ends[1::2], strict=True)) if n else [(0, 0)] * len(names)
     tree = grow(cells, box, total or 0, shards)
