@@ -80,10 +80,8 @@ def brute_substrings(texts, n=35):
 
 
 @pytest.mark.parametrize(("bits", "hot"), [(28, 20_000), (6, 20_000), (28, 2)])
-def test_substrings(docs, corpus, bits, hot, monkeypatch):
-    monkeypatch.setattr(substring, "HOT_LEAST", hot)
-    monkeypatch.setattr(substring, "HOT_SHARE", 1 << 40 if hot == 2 else 2000)
-    got = by_id(substring.dedup_substrings(docs, ["cid"], filter_bits=bits).collect())
+def test_substrings(docs, corpus, bits, hot):
+    got = by_id(substring.dedup_substrings(docs, ["cid"], filter_bits=bits, hot=hot).collect())
     want = brute_substrings(corpus)
     assert [(got[k]["n_words"], got[k]["n_removed"], got[k]["kept_text"]) for k in range(len(corpus))] == want
     assert sum(x[1] for x in want) > 1000
@@ -104,6 +102,34 @@ def test_substrings_mutations(spark):
     assert [(got[k]["n_words"], got[k]["n_removed"], got[k]["kept_text"]) for k in range(len(texts))] == brute_substrings(texts)
 
 
+def test_substrings_compare_words_not_hashes(spark):
+    """Words that polynomial hashes modulo 2^64 cannot tell apart."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{k}" for k in range(34))
+    got = by_id(substring.dedup_substrings(make_docs(spark, [f"{same} {one}", f"{same} {other}"])).collect())
+    assert [got[k]["n_removed"] for k in (0, 1)] == [0, 0]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_factors_of_a_block(collide, monkeypatch):
+    rng = random.Random(8)
+    if collide:  # one seed for all places, so that words alone decide
+        monkeypatch.setattr(substring, "_between", lambda prefix, start, end, base: np.zeros(len(start), np.uint64))
+    rows = [[rng.randrange(3) for _ in range(rng.randrange(5, 15))] for _ in range(40)] + [[7] * 9, [5, 6, 7, 8, 9]]
+    n = np.array([1] * 41 + [2])
+    begin = np.cumsum([0, *map(len, rows)])[:-1]
+    count = np.array([len(r) - 4 for r in rows])
+    found = substring.factors(np.array(sum(rows, []), np.int32), begin, np.zeros(len(rows), np.int64), count, n, 5)
+    seen = Counter()
+    for r, times in zip(rows, n.tolist(), strict=True):
+        for k in range(len(r) - 4):
+            seen[tuple(r[k : k + 5])] += times
+    got = sorted((row, at + k) for row, at, windows in found for k in range(windows))
+    assert got == [(i, k) for i, r in enumerate(rows) for k in range(len(r) - 4) if seen[tuple(r[k : k + 5])] > 1]
+    assert (41, 0) in got and any(windows > 1 for *_, windows in found)
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
