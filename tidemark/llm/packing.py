@@ -15,6 +15,7 @@ are packed as often as they occur; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -39,12 +40,29 @@ MERGE_WINDOWS = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
 
 
+#: What a tokenizer file must say for its texts to be split here. Fixed values of that file format.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_here(said: dict) -> bool:
+    """Whether the file's normaliser and splitting are the ones that ``ChunkTokenizer`` does itself."""
+    splits = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    return (
+        (said.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and [p.get("type") for p in splits] == ["Split", "ByteLevel"]
+        and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": PATTERN}, "Removed", True)
+        and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"] or said.get("truncation"))
+    )
+
+
 class ChunkTokenizer:
     """Ids (unsigned 32-bit, little-endian bytes) of whole texts, by chunks between ASCII blanks.
 
-    The tokenizer's own normaliser and pattern are slow on text whose words it has not met, so chunks are
+    A tokenizer with ``NORMALIZERS`` and the split ``PATTERN`` is slow on text whose words it has not met, so chunks are
     split here and only the pieces go to its model. Texts with its special strings, and
-    chunks with a letter whose lower case depends on context, go through it whole."""
+    chunks with a letter whose lower case depends on context, go through it whole; so do all texts
+    where the file says anything else than these two."""
 
     def __init__(self, source: str, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +70,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(source), memo
+        self.by_chunks = _splits_here(json.loads(source))
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -64,6 +83,7 @@ class ChunkTokenizer:
         self.control = re.compile(rb"[\x00-\x1f\x7f]")
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(16)]
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -105,7 +125,7 @@ class ChunkTokenizer:
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        if b"<|" in text and any(s in text for s in self.special):
+        if not self.by_chunks or (self.mark in text and any(s in text for s in self.special)):
             return self._whole(text.decode("utf-8", "replace"))
         words = text.lower().split()
         out = list(map(self.young.get, words))
