@@ -56,6 +56,55 @@ def test_line_index_is_reversible(spark, corpus):
     assert {tuple(r) for r in grown.delete(new).counts.collect()} == before
 
 
+def filter_marks(index):
+    """What the filters hold; a filter that deletions emptied holds as much as none."""
+    found = {(r["shard"], r["buckets"]): lines.CuckooFilter.loaded(r["buckets"], r["filter"]).marks() for r in index.filters.collect()}
+    return {k: marks for k, marks in found.items() if marks}
+
+
+def test_line_index_keeps_its_filters(spark):
+    text = lambda k: f"line number {k} that is long enough to be counted as one"
+    schema = "doc_id long, text string"
+    old = [(None, text(0))] * 2 + [(k, f"{text(0)}\n{text(k % 3)}") for k in range(9)]
+    new = [(None, text(1)), (3, text(2)), (3, text(7))] + [(20 + k, f"{text(7)}\n{text(2)}") for k in range(4)]
+    table = lambda rows: spark.createDataFrame(rows, schema)
+    state = lambda index: ({tuple(r) for r in index.counts.collect()}, {tuple(r) for r in index.postings.collect()}, filter_marks(index))
+    index = lines.LineIndex.build(table(old), min_docs=4)
+    grown = index.insert(table(new))
+    assert state(grown) == state(lines.LineIndex.build(table(old + new), min_docs=4))
+    assert state(grown.merged()) == state(grown)
+    assert state(grown.delete(table(new))) == state(index)  # id 3 and null keep the rows from before
+    assert state(grown.delete(table(old)))[:2] == state(lines.LineIndex.build(table(new), min_docs=4))[:2]
+    ids = table([(None, None), (3, None)]).select("doc_id")
+    assert state(grown.delete_ids(ids))[:2] == state(lines.LineIndex.build(table([r for r in old + new if r[0] not in (None, 3)]), min_docs=4))[:2]
+    with pytest.raises(ValueError, match="not in the index"):
+        index.delete(table([(99, text(0))]))
+    for options in ({}, {"exact_rows": 0}, {"filter_bytes": 0}):
+        got = sorted((r["doc_id"] or -1, r["n_dropped"]) for r in grown.apply(table(old + new), **options).collect())
+        assert got == sorted((r["doc_id"] or -1, r["n_dropped"]) for r in lines.dedup_lines(table(old + new), min_docs=4).collect())
+
+
+def test_line_index_merges_its_tables(spark):
+    line = "a line that is long enough to be counted as one"
+    index = lines.LineIndex.build(spark.createDataFrame([(0, line)], "doc_id long, text string"))
+    for k in range(1, lines.MOST_CHANGES + 1):
+        index = index.insert(spark.createDataFrame([(k, line)], "doc_id long, text string"))
+    assert len(index.tables) == 1 and index.counts.collect()[0]["n_docs"] == lines.MOST_CHANGES + 1
+
+
+def test_full_filter_is_left_as_it_was():
+    f = lines.CuckooFilter(1)
+    rng = random.Random(2)
+    keys = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)]
+    for key in keys:
+        before = f.table.copy()
+        if not f.insert(*key):
+            assert (f.table == before).all()
+            break
+    else:
+        raise AssertionError("never full")
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     hi, lo = rng.integers(0, 1 << 63, (2, 3000), dtype=np.int64).astype(np.uint64)

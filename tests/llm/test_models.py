@@ -368,3 +368,19 @@ def test_calibration_rows_of_a_very_large_language(spark, monkeypatch):
     model = langid.fit(rows)
     langid._calibrate(rows, model, {"en": 50.0, "fr": 1e12}, 1000)
     assert seen[-1][0] == 50
+
+
+def test_another_tokenizer_goes_through_the_library():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZERS.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    assert packing._splits_here(said)
+    said["normalizer"]["normalizers"] = said["normalizer"]["normalizers"][:2]
+    source = json.dumps(said)
+    own = packing.ChunkTokenizer(source)
+    assert not own.by_chunks
+    text = "Mixed Case, 12 THINGS"
+    assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == Tokenizer.from_str(source).encode(text, add_special_tokens=False).ids
