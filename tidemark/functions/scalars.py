@@ -113,9 +113,9 @@ def compare_versions(a: Column | str, b: Column | str) -> Column:
 
 
 def content_range(header: Column | str) -> Column:
-    """'bytes a-b/n' as (first, last, total); null if malformed or out of order."""
-    part = [F.regexp_extract(_c(header), r"^bytes (0|[1-9][0-9]*)-(0|[1-9][0-9]*)/(0|[1-9][0-9]*)$", k).try_cast("long") for k in (1, 2, 3)]
-    return F.when((part[0] <= part[1]) & (part[1] < part[2]), F.struct(part[0].alias("first"), part[1].alias("last"), part[2].alias("total")))
+    """'bytes a-b/n', in any case and between blanks, as (first, last, total); null if malformed, out of order or unsafe."""
+    part = [F.regexp_extract(_c(header), r"(?i)^[\t ]*bytes (0|[1-9][0-9]*)-(0|[1-9][0-9]*)/(0|[1-9][0-9]*)[\t ]*$", k).try_cast("long") for k in (1, 2, 3)]
+    return F.when((part[0] <= part[1]) & (part[1] < part[2]) & (part[2] <= SAFE), F.struct(part[0].alias("first"), part[1].alias("last"), part[2].alias("total")))
 
 
 def measured_bitrate(bytes_: Column, frames: Column, num: int, den: int) -> Column:
@@ -149,3 +149,71 @@ def intrinsic_size(width: Column, height: Column, num: Column, den: Column) -> C
     """Display size of a picture with non-square pixels, and its aspect."""
     w = width * num / den
     return F.struct(w.alias("width"), height.cast("double").alias("height"), (w / height).alias("aspect"))
+
+
+def compare_utf8(a: Column | str, b: Column | str) -> Column:
+    """-1, 0 or 1 in the order of UTF-8 bytes, which is Spark's own for strings."""
+    return F.when(_c(a) < _c(b), -1).when(_c(a) > _c(b), 1).otherwise(0)
+
+
+def redact_paths(text: Column | str) -> Column:
+    """Home folders' paths, on either kind of system, as a placeholder."""
+    return F.regexp_replace(_c(text), r"/(?:Users|home)/\S+|[A-Za-z]:\\\S+", "<redacted-path>")
+
+
+#: Codec strings that the format allows. Fixed values.
+H264 = r"^avc1\.6400(0A|0B|0C|0D|14|15|16|1E|1F|20|28|29|2A|32|33|34|3C|3D|3E)$"
+H265 = r"^hvc1\.1\.(0|[1-9A-F][0-9A-F]*)\.[LH](0|[1-9][0-9]*)\.(([0-9A-F]{2}\.){0,5}(0[1-9A-F]|[1-9A-F][0-9A-F]))$"
+VP9 = r"^vp09\.00\.(10|11|20|21|30|31|40|41|50|51|52|60|61|62)\.08(\.01\.01\.01\.01\.00)?$"
+AV1 = r"^av01\.0\.(0[0-9]|[12][0-9]|3[01])[MH]\.(08|10)(\.0\.11[0-3]\.01\.01\.01\.0)?$"
+
+
+def codec_string(text: Column | str) -> Column:
+    """(family, bit_depth) of a canonical codec string; null for any other."""
+    t = _c(text)
+    whole = lambda pattern, k, base: F.conv(F.regexp_extract(t, pattern, k), base, 10).try_cast("decimal(20,0)")
+    flags, level, first = whole(H265, 1, 16), whole(H265, 2, 10), F.conv(F.substring(F.regexp_extract(t, H265, 3), 1, 2), 16, 10).try_cast("int")
+    # the second compatibility flag; of the first constraint byte: progressive, not interlaced, frames only
+    main = (flags <= 0xFFFFFFFF) & (F.pmod(int_div(flags, 2), F.lit(2)) == 1) & level.between(1, 255) & (first.bitwiseAND(F.lit(0xD0)) == 0x90)
+    found = lambda family, depth: F.struct(F.lit(family).alias("family"), depth.cast("int").alias("bit_depth"))
+    eight = F.lit(8)
+    return (
+        F.when(t.rlike(H264), found("h264", eight))
+        .when(t.rlike(H265) & main, found("h265", eight))
+        .when(t.rlike(VP9), found("vp9", eight))
+        .when(t.rlike(AV1), found("av1", F.regexp_extract(t, AV1, 2)))
+    )
+
+
+#: Rows between the colour pane and the alpha pane. Fixed value.
+GUTTER = 8
+
+
+def rendition_geometry(canvas: tuple, visible: tuple, packed: Column, align: tuple) -> Column:
+    """Storage and coded geometry of a picture; null where the visible part does not fit the canvas or has another aspect."""
+    (cw, ch), (vw, vh) = ([_c(x).cast("long") for x in pair] for pair in (canvas, visible))
+    up = lambda x, by: ceil_div(x, _c(by)) * _c(by)
+    pane_w, pane_h = up(vw, 2), up(vh, 2)
+    stored = F.when(packed, pane_h * 2 + GUTTER).otherwise(pane_h)
+    coded_w, coded_h = up(pane_w, align[0]), up(stored, align[1])
+    ok = (vw >= 1) & (vh >= 1) & (vw <= cw) & (vh <= ch) & (vw.cast(WIDE) * ch.cast(WIDE) == vh.cast(WIDE) * cw.cast(WIDE))
+    return F.when(ok, F.struct(
+        pane_w.alias("storage_width"), stored.alias("storage_height"), F.when(packed, pane_h + GUTTER).alias("alpha_y"), coded_w.alias("coded_width"), coded_h.alias("coded_height"),
+        checked_multiply(vw, vh).alias("visible_area"), checked_multiply(checked_multiply(pane_w, stored), F.lit(4)).alias("decoded_bytes"), checked_multiply(checked_multiply(coded_w, coded_h), F.lit(4)).alias("coded_bytes"),
+    ))
+
+
+def alpha_policy(requested: Column | str, opaque: Column) -> Column:
+    """(selected, warning, rejected): 'auto' packs what is not opaque, 'opaque' rejects it, 'packed' warns of what needs no packing."""
+    r = _c(requested)
+    rejected = (r == "opaque") & ~opaque
+    selected = F.when(rejected, None).when(r == "auto", F.when(opaque, "opaque").otherwise("packed")).otherwise(r)
+    return F.struct(selected.alias("selected"), ((r == "packed") & opaque).alias("warning"), rejected.alias("rejected"))
+
+
+def lead_frames(latency: Column, frame: Column) -> Column:
+    """Frames that a latency takes, rounded up but for errors of the last bits."""
+    ratio = latency / frame
+    near = F.floor(ratio + 0.5)
+    tolerance = F.greatest(F.lit(1.0), F.abs(ratio)) * (8 * 2.0**-52)
+    return F.when(F.abs(ratio - near) <= tolerance, near).otherwise(F.ceil(ratio)).cast("long")

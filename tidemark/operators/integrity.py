@@ -50,3 +50,49 @@ def counters(baseline: DataFrame, terminal: DataFrame, name: str, value: str) ->
     both = side(baseline, "baseline").join(side(terminal, "terminal"), name, "full")
     zero = both.select(name, F.coalesce("baseline", F.lit(0)).alias("baseline"), F.coalesce("terminal", F.lit(0)).alias("terminal"))
     return zero.withColumn("delta", F.col("terminal") - F.col("baseline"))
+
+
+def edge_failures(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """(edge, code): the first rule that an edge breaks.
+
+    ``edges``: edge, src, dst, start (portal, finish, cut), source_port, target_port, transition (locked, reversible or null), unit_kind, continuity.
+    ``states``: state, playback (loop, finite, held), frames, ports array<struct<id, last>> with each port's last portal."""
+    side = lambda name, key: states.select(F.col("state").alias(key), F.col("playback").alias(f"{name}_playback"), F.col("frames").alias(f"{name}_frames"), F.col("ports").alias(f"{name}_ports"))
+    both = edges.join(side("s", "src"), "src", "left").join(side("t", "dst"), "dst", "left")
+    port = F.try_element_at(F.filter("s_ports", lambda p: p["id"] == F.col("source_port")), F.lit(1))
+    start, kind, exact = F.col("start"), F.col("transition"), F.col("continuity") == "exact-authored"
+    code = (
+        F.when(F.col("s_playback").isNull(), "from")
+        .when(F.col("t_playback").isNull(), "to")
+        .when(~F.exists("t_ports", lambda p: p["id"] == F.col("target_port")), "target-port")
+        .when((start == "portal") & port.isNull(), "source-port")
+        .when((start == "portal") & (F.col("s_playback") == "finite") & (port["last"] != F.col("s_frames") - 1), "held-frame")
+        .when((start == "finish") & (F.col("s_playback") == "loop"), "finish-of-loop")
+        .when((kind == "locked") & ~F.col("unit_kind").eqNullSafe("bridge"), "bridge-unit")
+        .when((kind == "locked") & ~exact, "locked-continuity")
+        .when((kind == "reversible") & ~F.col("unit_kind").eqNullSafe("reversible"), "reversible-unit")
+        .when(kind.isNull() & (start != "cut") & ~exact, "continuity")
+    )
+    return both.select("edge", code.alias("code")).where("code IS NOT NULL")
+
+
+def counter_failures(deltas: DataFrame, allowances: dict[str, int]) -> DataFrame:
+    """(name, delta, allowed) of the counters (name, baseline, terminal, delta) that grew by more than allowed; nothing is allowed to those not named."""
+    allowed = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in allowances.items()], F.lit(0))
+    return deltas.withColumn("allowed", allowed.cast("long")).where("delta > allowed").select("name", "delta", "allowed")
+
+
+def slot_matrix(profiles: DataFrame, required: DataFrame, platforms: Sequence[int], usual: int, conditional: int) -> DataFrame:
+    """(code, platform, browser, refresh): slots of the required grid (platform, browser) that no profile fills, slots filled twice, profiles off the grid.
+
+    Each platform needs the usual refresh rate and, where one of its profiles says it is available, the conditional one."""
+    available = profiles.groupBy("platform").agg(F.bool_or("available").alias("more"))
+    rates = F.when(F.col("more"), F.array(F.lit(usual), F.lit(conditional))).otherwise(F.array(F.lit(usual)))
+    grid = required.join(available, "platform", "left").select("platform", "browser", F.explode(rates).alias("refresh"))
+    slots = profiles.groupBy("platform", "browser", "refresh").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("available")).alias("not_available"))
+    coded = lambda df, code: df.select(F.lit(code).alias("code"), "platform", "browser", F.col("refresh").cast("long").alias("refresh"))
+    known = F.col("platform").isin(*platforms)
+    return reduce(DataFrame.unionByName, [
+        coded(missing(grid, slots, ["platform", "browser", "refresh"]), "missing"), coded(slots.where("n > 1"), "duplicate"), coded(slots.where(~known), "unknown-platform"),
+        coded(slots.where(~F.col("refresh").isin(usual, conditional)), "unknown-refresh"), coded(slots.where((F.col("refresh") == conditional) & F.col("not_available")), "unavailable-refresh"),
+    ])

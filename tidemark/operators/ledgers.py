@@ -92,3 +92,50 @@ def operation_failures(inputs: DataFrame, requests: DataFrame, settlements: Data
     codes = F.array_compact(F.array(F.when(~F.col("asked").eqNullSafe(F.col("target")), "request-evidence"), F.when(F.col("done").isNull() | (F.col("done") < F.col("at")), "settlement-order")))
     orphans = settlements.join(inputs, ["key", "op"], "left_anti").select("key", "op", F.lit("settlement-without-input").alias("code"))
     return both.select("key", "op", F.explode(codes).alias("code")).unionByName(orphans)
+
+
+def frame_credit(ops: DataFrame, keys: list[str], order: str, op: str, amount: str, most_bytes: int, most_frames: int) -> DataFrame:
+    """Decoded frames that are lent out: (keys, order, outcome, frame, count, bytes) for each operation.
+
+    ``lease`` lends a frame of ``amount`` bytes under the next number unless the bytes lent would exceed ``most_bytes``; ``release`` takes back
+    frame ``amount``; ``clear`` takes back all; ``submit`` asks whether ``amount`` submitted frames and those lent leave room for one more."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        held, what, n = state["held"], row[1], row[2]
+        frame = None
+        if what == "lease":
+            outcome = "budget-exceeded"
+            if state["bytes"] + n <= most_bytes:
+                outcome, frame = "leased", state["next"]
+                held[frame] = n
+                state["next"], state["bytes"] = frame + 1, state["bytes"] + n
+        elif what == "release":
+            outcome = "released" if n in held else "release-invalid"
+            state["bytes"] -= held.pop(n, 0)
+        elif what == "clear":
+            outcome = "cleared"
+            held.clear()
+            state["bytes"] = 0
+        else:
+            outcome = "credit" if n + len(held) < most_frames else "no-credit"
+        return outcome, frame, len(held), state["bytes"]
+
+    return folded(ops, keys, [order], [op, amount], "outcome string, frame long, count long, bytes long", lambda: {"held": {}, "next": 1, "bytes": 0}, step)
+
+
+def page_admission(requests: DataFrame, keys: list[str], order: str, player: str, amount: str, player_limit: int, page_limit: int) -> DataFrame:
+    """Byte admission with a limit a player and one a page (``keys``): (keys, order, outcome, player_bytes, page_bytes).
+
+    A request is granted if both sums stay within their limits, else it takes nothing; a null amount disposes of the player, who gives back all."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        own, total = state.get(row[1], 0), sum(state.values())
+        if row[2] is None:
+            state.pop(row[1], None)
+            return "disposed", 0, total - own
+        if own + row[2] > player_limit or total + row[2] > page_limit:
+            return "rejected", own, total
+        state[row[1]] = own + row[2]
+        return "reserved", own + row[2], total + row[2]
+
+    return folded(requests, keys, [order], [player, amount], "outcome string, player_bytes long, page_bytes long", dict, step)

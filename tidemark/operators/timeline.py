@@ -81,3 +81,20 @@ def greatest_wait_finite(portals: Column) -> Column:
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key in the given (falling) order."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def counted_upto(probes: DataFrame, sources: DataFrame, keys: Sequence[str], at: str, name: str = "upto") -> DataFrame:
+    """Each probe with the number of sources of its key at or before it."""
+    both = probes.withColumn("_kind", F.lit(1)).unionByName(sources.select(*keys, at).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    upto = W.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(name, F.sum(1 - F.col("_kind")).over(upto)).where("_kind = 1").drop("_kind")
+
+
+def exact_grid(frames: DataFrame, keys: Sequence[str], order: Sequence[str], ticks: str, duration: str, rate: tuple[int, int], base: tuple[int, int]) -> DataFrame:
+    """(keys, frames, exact): whether each frame stands and lasts exactly as the rate says, in ticks of the time base; by cross multiplication."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    wide = lambda c: c.cast("decimal(38,0)")
+    scale, step = (F.lit(a * b).cast("decimal(20,0)") for a, b in ((rate[0], base[0]), (rate[1], base[1])))
+    i, first = F.row_number().over(w) - 1, F.first(ticks).over(w)
+    fits = (wide((F.col(ticks) - first) * scale) == wide(i * step)) & (wide(F.col(duration) * scale) == wide(step))
+    return frames.withColumn("_fits", fits).groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.bool_and("_fits").alias("exact"))

@@ -654,10 +654,11 @@ def import_closure(spark, d):
     return paths.closure(e, table(spark, d, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("node")))
 
 
-@query()
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS canonical, props = '{"k":' || json_extract_string(props, '$.k') || '}' AS was_canonical, CAST(NULL AS VARCHAR) AS error FROM events""")
 def canonical_props(spark, d):
     from ..sources import formats
 
     return formats.canonical_column(table(spark, d, "events"), "props", ["event_id"])
 
-from . import ledgers as _ledgers  # noqa: E402, F401  registers its queries here
+from . import ledgers as _ledgers  # noqa: E402, F401  these register their queries here
+from . import rules as _rules  # noqa: E402, F401

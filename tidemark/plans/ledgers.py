@@ -12,13 +12,21 @@ from .catalog import DAY, HOUR, query, table, timed
 _SCHEDULE = ["view", "click", "purchase", "view", "signup", "error", "click"]
 
 
-@query()
+_PLACES = "list_filter(CAST(range(0, 7) AS BIGINT[]), lambda k: ['view', 'click', 'purchase', 'view', 'signup', 'error', 'click'][k + 1] = v)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {_PLACES.replace("= v", "= event_type")} AS ps FROM events),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, '' AS verdict, CAST(-1 AS BIGINT) AS place FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, n, CASE WHEN list_contains(ps, place) THEN 'repeat' WHEN later = place + 1 THEN 'advance' WHEN later IS NOT NULL THEN 'skip' WHEN len(list_filter(ps, lambda k: k < place)) > 0 THEN 'regression' ELSE 'identity' END, CASE WHEN list_contains(ps, place) THEN place ELSE coalesce(later, place) END
+FROM (SELECT e.user_id, e.n, ps, place, list_min(list_filter(ps, lambda k: k > place)) AS later FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)) SELECT user_id, n, verdict, place FROM w WHERE n > 0""")
 def schedule_alignment(spark, d):
     e = timed(spark, d).withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("us", "event_id")))
     return ledgers.aligned(e, ["user_id"], "n", "event_type", _SCHEDULE)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CAST(floor(value) AS BIGINT) * CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS b FROM events),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, true AS ok, CAST(0 AS BIGINT) AS held FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT e.user_id, e.n, held + b <= 500, CASE WHEN held + b <= 500 THEN greatest(0, held + b) ELSE held END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1) SELECT user_id, n, ok, held FROM w WHERE n > 0""")
 def byte_admission(spark, d):
     e = timed(spark, d, "value").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("us", "event_id")))
     amount = F.floor("value").cast("long") * F.when(F.col("event_type") == "error", -1).otherwise(1)
