@@ -226,3 +226,23 @@ def test_random_tapes_replay_and_settle(seed):
     assert logs[0] == logs[1] and not [e for e in logs[0] if e["type"] == "error"]
     settled = [i for e in logs[0] if e["type"] == "settle" for i in e["request_ids"]]
     assert sorted(settled) == list(range(1, a.s["next_request"])) and a.s["group"] is None
+
+
+def test_prefix_sum_keeps_null_and_outlying_keys(spark):
+    rows = [(None, 1, 7), (1, 1, 5), (3, 1, 2), (3, 2, 4), (10**15, 1, 1), (-(10**15), 1, 3)]
+    got = layout.prefix_sum(spark.createDataFrame(rows, "k long, o long, v long").repartition(3), "k", ["o"], F.col("v"), "before").collect()
+    assert {(r["k"], r["o"]): r["before"] for r in got} == {(None, 1): 0, (-(10**15), 1): 7, (1, 1): 10, (3, 1): 15, (3, 2): 17, (10**15, 1): 21}
+
+
+def test_as_of_in_bands_equals_as_of(spark):
+    import random
+
+    rng = random.Random(1)
+    side = lambda n: spark.createDataFrame([(rng.choice([None, 1, 2]), rng.randrange(-50, 200), k) for k in range(n)], "key long, at long, id long")
+    probes, sources = side(150), side(25)
+    rows = lambda df: sorted((str(r["key"]), r["at"], r["id"], r["_source"] and tuple(r["_source"])) for r in df.collect())
+    for forward in (False, True):
+        whole = rows(timeline.as_of(probes, sources, ["key"], "at", ["id"], "id", forward))
+        for band in (1, 7, 1000):
+            assert rows(timeline.as_of(probes, sources, ["key"], "at", ["id"], "id", forward, band)) == whole
+        assert any(r[3] is None for r in whole) and any(r[3] for r in whole)

@@ -37,7 +37,7 @@ def bracketed_rank(df: DataFrame, keys: Sequence[str], value: str, fractions: di
     spots = F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p) - F.lit(1e-9))).cast("long").alias("rank"), F.when(F.lit(p <= step), F.col("min")).otherwise(F.col("_b")[2 * k]).alias("lo"), F.when(F.lit(p >= 1 - step), F.col("max")).otherwise(F.col("_b")[2 * k + 1]).alias("hi")) for k, (name, p) in enumerate(fractions.items())])
     wide = sketch.select(*keys, "n", "min", "max", spots.alias("_spots"))
     # per row and fraction: below the bracket (a count), inside (kept), above (dropped)
-    joined = rows.join(F.broadcast(wide.select(*keys, "_spots")), list(keys)) if keys else rows.crossJoin(F.broadcast(wide.select("_spots")))
+    joined = rows.join(wide.select(*keys, "_spots"), list(keys)) if keys else rows.crossJoin(F.broadcast(wide.select("_spots")))
     placed = joined.select(*keys, "_v", F.explode("_spots").alias("s")).where(F.col("_v") <= F.col("s.hi"))
     inside = placed.select(*keys, F.col("s.name").alias("name"), F.col("s.rank").alias("rank"), F.when(F.col("_v") >= F.col("s.lo"), F.col("_v")).alias("_v"))
     counted = inside.groupBy(*keys, "name", "rank", "_v").agg(F.count(F.lit(1)).alias("c"))

@@ -8,21 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Buckets of a total order; sums of this many rows go through one task and a broadcast.
-BUCKETS = 1024
+from .. import tables
 
 
-def prefix_sum(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before this one in the total order (key, order).
+def prefix_sum(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before this one in the total order (key, order), nulls first.
 
-    Rows are cut into ranges of the integer ``key``; each range's total is a row of a small table that is
-    summed up in one task and broadcast, and rows are summed within their range."""
-    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1)).cast("long")
-    cut = df.crossJoin(F.broadcast(span.select("lo", width.alias("_w")))).withColumn("_b", F.call_function("div", F.col(key) - F.col("lo"), F.col("_w"))).drop("lo", "_w").withColumn("_v", value)
+    Rows are dealt to ranges of that order which Spark draws from a sample, so neither an outlying key nor one with very many rows
+    fills a task; the ranges are written, as a second sample could draw others (``ranges``: how many; else Spark decides). One row a range goes through one task, and rows
+    are summed within their range."""
+    cut = df.withColumn("_v", value).repartitionByRange(*([ranges] if ranges else []), key, *order).withColumn("_b", F.spark_partition_id())
+    cut = tables.written(cut, "ranges")
     totals = cut.groupBy("_b").agg(F.sum("_v").alias("_t"))
     before = F.coalesce(F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("_b", before.alias("_o"))
+    offsets = totals.select("_b", before.alias("_o"))  # one row for each range
     inner = F.coalesce(F.sum("_v").over(W.partitionBy("_b").orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return cut.join(F.broadcast(offsets), "_b").withColumn(name, (F.col("_o") + inner).cast("long")).drop("_b", "_v", "_o")
 

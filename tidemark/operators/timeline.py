@@ -19,9 +19,16 @@ def _union(probes: DataFrame, sources: DataFrame, keys: Sequence[str], at: str,
     return p.withColumn("_tie", F.lit(None).cast(sources.schema[tie].dataType)).unionByName(s)
 
 
-def as_of(probes: DataFrame, sources: DataFrame, keys: Sequence[str], at: str, payload: Sequence[str], tie: str, forward: bool = False) -> DataFrame:
-    """Each probe with a struct ``_source``: the latest source at or before it, or the first at or after it (null if none)."""
+def as_of(probes: DataFrame, sources: DataFrame, keys: Sequence[str], at: str, payload: Sequence[str], tie: str, forward: bool = False, band: int | None = None) -> DataFrame:
+    """Each probe with a struct ``_source``: the latest source at or before it, or the first at or after it (null if none).
+
+    With ``band`` a task holds a key's rows within that width of ``at`` and not all of them: what earlier (later) bands hand
+    over is one row a band, by an aggregation that combines before it shuffles."""
     both = _union(probes, sources, keys, at, payload, tie)
+    if band:
+        keys = [*keys, "_band"]
+        both = both.withColumn("_band", F.floor(F.col(at) / band).cast("long"))
+        both = both.unionByName(_handed_over(both, keys, at, band, forward), allowMissingColumns=True)
     w = W.partitionBy(*keys)
     if forward:
         order = w.orderBy(F.col(at), F.col("_kind").desc(), F.col("_tie")).rowsBetween(0, W.unboundedFollowing)
@@ -29,7 +36,18 @@ def as_of(probes: DataFrame, sources: DataFrame, keys: Sequence[str], at: str, p
     else:
         order = w.orderBy(F.col(at), F.col("_kind"), F.col("_tie")).rowsBetween(W.unboundedPreceding, 0)
         found = F.last("_source", ignorenulls=True).over(order)
-    return both.withColumn("_source", found).where("_kind = 1").drop("_kind", "_tie")
+    return both.withColumn("_source", found).where("_kind = 1").drop("_kind", "_tie", "_band")
+
+
+def _handed_over(both: DataFrame, keys: list[str], at: str, band: int, forward: bool) -> DataFrame:
+    """For each band the source that an earlier (later) band ends (begins) with, at this band's own edge."""
+    spot = F.when(F.col("_kind") == 0, F.struct(at, "_tie"))
+    end = (F.min_by if forward else F.max_by)("_source", spot)
+    per = both.groupBy(*keys).agg(end.alias("_end"))
+    w = W.partitionBy(*keys[:-1]).orderBy("_band")
+    carried = F.first("_end", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)) if forward else F.last("_end", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    edge = (F.col("_band") + (1 if forward else 0)) * band
+    return per.withColumn("_source", carried).where("_source IS NOT NULL").select(*keys, "_source", edge.cast(both.schema[at].dataType).alias(at), F.lit(-1).alias("_kind"))
 
 
 def gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str = "gap") -> DataFrame:

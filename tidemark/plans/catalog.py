@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+#: A quarter: what an as-of join holds of a key at a time.
+BAND = 91 * DAY
 
 
 def query(sql: str | None = None):
@@ -142,7 +144,7 @@ def _held(spark: SparkSession, d: str) -> DataFrame:
     b = e.groupBy("user_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     first, last = (S.int_div("lo", DAY) + 1) * DAY, S.int_div("hi", DAY) * DAY
     ticks = b.where(first <= last).select("user_id", F.explode(F.sequence(first, last, F.lit(DAY))).alias("us"))
-    return timeline.as_of(ticks, e, ["user_id"], "us", ["event_id", "source_us"], "event_id")
+    return timeline.as_of(ticks, e, ["user_id"], "us", ["event_id", "source_us"], "event_id", band=BAND)
 
 
 @query("""WITH b AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id),
@@ -163,7 +165,7 @@ def next_purchase_after_click(spark, d):
     e = timed(spark, d)
     clicks = e.where("event_type = 'click'").select("user_id", "event_id", "us")
     bought = e.where("event_type = 'purchase'").withColumn("at", F.col("us"))
-    found = timeline.as_of(clicks, bought, ["user_id"], "us", ["event_id", "at"], "event_id", forward=True)
+    found = timeline.as_of(clicks, bought, ["user_id"], "us", ["event_id", "at"], "event_id", forward=True, band=BAND)
     return found.select("user_id", "event_id", F.col("_source.event_id").alias("next_purchase"), (F.col("_source.at") - F.col("us")).alias("wait_us"))
 
 
@@ -323,14 +325,10 @@ def _written_layout(spark, d):
 
 def _spans_at(a, probes):
     spans = a.groupBy("l_orderkey").agg(F.min("off").alias("p"), F.max(F.col("off") + F.col("len")).alias("e"))
-    band = lambda df: df.withColumn("_k", F.lit(0))
-    # a hundred thousand bytes are a band; each band starts with the last span that begins before it
+    # spans lie one after another but for padding, so each band of bytes gets the spans that reach into it and needs no other
     wide = 100_000
-    cut = spans.withColumn("_k", S.int_div("p", wide))
-    last = cut.groupBy("_k").agg(F.max_by(F.struct("l_orderkey", "p", "e"), "p").alias("s"))
-    seeds = timeline.as_of(band(probes.select((S.int_div("p", wide) * wide).alias("at")).distinct()), band(last.select(((F.col("_k") + 1) * wide).alias("at"), "s")), ["_k"], "at", ["s"], "at")
-    seed = seeds.where("_source IS NOT NULL").select("_source.s.l_orderkey", "_source.s.p", "_source.s.e", S.int_div("at", wide).alias("_k"))
-    found = timeline.as_of(probes.withColumn("_k", S.int_div("p", wide)), cut.select("l_orderkey", "p", "e", "_k").unionByName(seed), ["_k"], "p", ["l_orderkey", "e"], "l_orderkey")
+    cut = spans.withColumn("_k", F.explode(F.sequence(S.int_div("p", wide), S.int_div(S.align8("e") - 1, wide))))
+    found = timeline.as_of(probes.withColumn("_k", S.int_div("p", wide)), cut, ["_k"], "p", ["l_orderkey", "e"], "l_orderkey")
     return found.where("_source IS NOT NULL").select("p", F.col("_source.l_orderkey").alias("l_orderkey"), (F.col("p") < F.col("_source.e")).alias("inside"))
 
 
