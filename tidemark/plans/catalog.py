@@ -570,8 +570,8 @@ def scalar_functions(spark, d):
     price = S.decimal_seconds_micros(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
     return x.select(
         "l_orderkey", "l_linenumber", S.align8("l_partkey").alias("aligned"), S.allocation(F.col("l_partkey")).alias("allocated"), S.srgb_to_linear("l_discount").alias("linear"), m["value"].alias("value"), m["complement"].alias("complement"),
-        m["parity"].alias("parity"), r["num"].alias("num"), r["den"].alias("den"), price.alias("price_us"),
-    )
+        m["parity"].alias("parity"), r.alias("r"), price.alias("price_us"),
+    ).select("*", "r.num", "r.den").drop("r")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber - 1 AS BIGINT) AS f, CAST(count(*) OVER (PARTITION BY l_orderkey) AS BIGINT) AS n, CASE l_returnflag WHEN 'R' THEN 'loop' WHEN 'A' THEN 'finite' ELSE 'held' END AS k FROM lineitem)

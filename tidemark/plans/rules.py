@@ -210,8 +210,8 @@ def scalar_rules(spark, d):
     found = S.content_range(header)
     return x.select(
         "l_orderkey", "l_linenumber", S.checked_add(p, s).alias("added"), S.checked_multiply(p, s).alias("multiplied"), S.range_contains(s, s + 100, p, p + 5).alias("contained"), size["width"].alias("width"), size["height"].alias("height"), size["aspect"].alias("aspect"),
-        S.compare_versions(*versions).alias("version"), S.compare_utf8("l_returnflag", "l_linestatus").alias("utf8"), (found["last"] - found["first"] + 1).alias("range_length"),
-    )
+        S.compare_versions(*versions).alias("version"), S.compare_utf8("l_returnflag", "l_linestatus").alias("utf8"), found.alias("found"),
+    ).select("*", (F.col("found.last") - F.col("found.first") + 1).alias("range_length")).drop("found")
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace('at /home/' || role || '/x.txt and C:\' || role || '\y ' || coalesce(text, ''), '/(?:Users|home)/\S+|[A-Za-z]:\\\S+', '<redacted-path>', 'g') AS summary FROM conversations""")
