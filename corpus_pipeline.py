@@ -14,6 +14,8 @@ from tidemark.llm import common, decontamination, langid, lines, packing, simhas
 
 #: Ids of near copies are broadcast up to this many; beyond, they are joined.
 SMALL_IDS = 500_000
+#: Tasks that a group of near copies is dealt to.
+SALTS = 64
 #: Remembered chunks in a worker; fewer than by default, since workers go on to hold them while other stages run.
 MEMO = 80_000
 
@@ -50,8 +52,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(docs.select("doc_id", "text", th.alias("th")), ["th"]).select("root", "doc_id", F.col("carried.th").alias("th"))
     keys = common.written(rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "near-keys")
     spot = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
-    least = keys.groupBy("root").agg(F.min(spot).alias("least"))
-    judged = keys.join(least, "root").withColumn("stays", F.col("least").eqNullSafe(spot))
+    # only groups of several rows need judging; each is dealt to many tasks, so that none takes a whole large group
+    several = keys.groupBy("root").agg(F.min(spot).alias("least"), F.count(F.lit(1)).alias("c"), F.max("n").alias("most")).where("c > 1 OR most > 1")
+    least = several.select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    judged = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).withColumn("stays", F.col("least").eqNullSafe(spot))
     judged = common.written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("j_doc"), F.col("th").alias("j_th"), "stays"), "near-copies")
     given = F.broadcast(judged) if judged.count() <= SMALL_IDS else judged
     own = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], docs["doc_id"].cast("long").alias("j_id"), th.alias("j_text"))
