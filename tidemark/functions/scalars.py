@@ -131,10 +131,6 @@ def allocation(bytes_: Column, num: int = 5, den: int = 4) -> Column:
     return ceil_div(bytes_ * num, den)
 
 
-def edge_lead(transition_frames: Column, ring: Column) -> Column:
-    return F.least(F.greatest(transition_frames, F.lit(1)), ring)
-
-
 def required_edge_lead(transition_frames: Column | str, ring: Column | str | int) -> Column:
     """Consecutive frames an edge needs: its transition and the target's entry, two at least and the ring at most."""
     return F.least(F.greatest(_c(transition_frames) + 1, F.lit(2)), _c(ring))

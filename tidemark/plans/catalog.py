@@ -659,4 +659,5 @@ def canonical_props(spark, d):
     return formats.canonical_column(table(spark, d, "events"), "props", ["event_id"])
 
 from . import ledgers as _ledgers  # noqa: E402, F401  these register their queries here
+from . import policies as _policies  # noqa: E402, F401
 from . import rules as _rules  # noqa: E402, F401

@@ -245,16 +245,6 @@ def path_frames(spark, d):
     return _path_frames(*_states(spark, d))
 
 
-@query(f"""WITH {_UNITS}, w AS (SELECT edge, (frames - 1) - edge % frames AS wait, edge % 9 AS most, edge % 5 = 0 AS cut FROM e JOIN s ON src = state)
-SELECT edge, wait, CASE WHEN cut THEN 'restart' WHEN wait > most THEN 'reject' WHEN wait = 0 THEN 'commit' WHEN wait <= 3 THEN 'select' ELSE 'wait' END AS decision, least(greatest(wait, 1), 6) AS lead FROM w""")
-def horizon_decision(spark, d):
-    s, e = _states(spark, d)
-    wait = F.col("frames") - 1 - F.pmod("edge", "frames")
-    w = e.join(s, F.col("src") == F.col("state")).select("edge", wait.alias("wait"), F.pmod("edge", F.lit(9)).alias("most"), (F.pmod("edge", F.lit(5)) == 0).alias("cut"))
-    decision = F.when(F.col("cut"), "restart").when(F.col("wait") > F.col("most"), "reject").when(F.col("wait") == 0, "commit").when(F.col("wait") <= 3, "select").otherwise("wait")
-    return w.select("edge", "wait", decision.alias("decision"), S.edge_lead(F.col("wait"), F.lit(6)).alias("lead"))
-
-
 @query("""SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) * 5 + max(CAST(l_quantity AS BIGINT)) * 8 + count(*) * 48 + 80 AS BIGINT) AS total_bytes,
 sum(CAST(l_quantity AS BIGINT)) * 5 + max(CAST(l_quantity AS BIGINT)) * 8 + count(*) * 48 + 80 <= 1200 AS fits FROM lineitem GROUP BY l_orderkey""")
 def resource_plan(spark, d):
