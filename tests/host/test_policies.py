@@ -67,3 +67,20 @@ def test_automatic_inputs(spark):
     rows = spark.createDataFrame([(1, k, op, flag, True, False) for k, (op, flag, _) in enumerate(ops)], "key long, n long, op string, f boolean, h boolean, x boolean")
     got = [r["sources"] for r in policies.automatic_inputs(rows, ["key"], "n", "op", "f", "h", "x").orderBy("n").collect()]
     assert got == [want for _, _, want in ops]
+
+
+def test_realtime_ticks(spark):
+    # frames of 10 ms
+    ops = [
+        ("callback", 0, None), ("start", 1000, None), ("callback", 10999, "advanced"), ("callback", 11000, "advanced"), ("callback", 20000, "advanced"), ("callback", 23000, "underflow"), ("callback", 23001, "underflow"), ("callback", 33000, "advanced"), ("callback", 44000, "advanced"),
+        ("callback", 53000, "advanced"), ("callback", 58000, "advanced"), ("manual", 0, "advanced"), ("pause", None, None), ("callback", 60000, "advanced"), ("manual", 0, "advanced"), ("manual", 0, "underflow"), ("resume", 100000, None), ("callback", 110000, "underflow"), ("callback", 140000, "advanced"), ("callback", 139999, "advanced"),
+        ("callback", 150000, "advanced"), (None, None, None), ("start", 160000, None), ("callback", 170000, "stopped"), ("start", None, None), ("stop", None, None),
+    ]
+    rows = spark.createDataFrame([(1, k, *o) for k, o in enumerate(ops)], "key long, n long, op string, at long, result string")
+    got = [tuple(r)[2:] for r in policies.realtime_ticks(rows, ["key"], "n", "op", "at", "result", 100, 1).orderBy("n").collect()]
+    assert got == [
+        ("ignored", None, None, 0, True), ("running", None, 11000, 0, True), ("not-due", None, 11000, 0, True), ("advanced", 1, 21000, 0, True), ("not-due", None, 21000, 0, True), ("underflow", 2, 23000, 1, False), ("underflow", 2, 23001, 1, False), ("advanced", 2, 33001, 1, False),
+        ("advanced", 3, 54000, 1, False), ("not-due", None, 54000, 1, False), ("advanced", 4, 64000, 1, False), ("refused", None, 64000, 1, False), ("paused", None, 64000, 1, False), ("ignored", None, 64000, 1, False), ("advanced", 5, 74000, 1, False), ("underflow", 6, 74000, 2, False),
+        ("running", None, 110000, 2, False), ("underflow", 6, 110000, 2, False), ("advanced", 6, 150000, 2, False), ("failed", None, 150000, 2, False), ("ignored", None, 150000, 2, False), ("same", None, 150000, 2, False), ("running", None, 150000, 2, False), ("stopped", 7, 150000, 2, False),
+        ("failed", None, 150000, 2, False), ("stopped", None, 150000, 2, False),
+    ]

@@ -1,6 +1,6 @@
-"""Decisions of a player, replayed from logs: where a selected edge leaves its source, motion, visibility and raw inputs.
+"""Decisions of a player, replayed from logs: where a selected edge leaves its source, deadlines, motion, visibility and raw inputs.
 
-The horizon is one expression a row. The other three depend on their own earlier decisions and stream over rows sorted by key and order
+The horizon is one expression a row. The others depend on their own earlier decisions and stream over rows sorted by key and order
 (``ledgers.folded``): one small state at a time, whatever the length of a key's log. A null operation changes nothing."""
 
 from __future__ import annotations
@@ -59,6 +59,80 @@ def submission_horizon(rows: DataFrame, ring: int) -> DataFrame:
     return a.withColumns(found).drop("_ready", "_own", "_at", "_later", "_end", "_late", "_held", "_wait", "_none", "_needed", "_over")
 
 
+def realtime_ticks(log: DataFrame, keys: list[str], order: str, op: str, at: str, result: str, num: int, den: int) -> DataFrame:
+    """Content deadlines at num/den frames a second over logged display callbacks: (keys, order, status, presented, deadline, underflows, smooth).
+
+    Operations at a time in whole microseconds: ``start`` and ``resume`` (which drops the time since), ``callback`` and ``manual`` (a due tick of a clock that does
+    not run) with the ``result`` advanced, underflow or stopped, ``pause``, ``stop``. A callback makes one tick at most. An underflow counts once a frame and
+    moves the clock by what it is late; an advance does so if a display opportunity was missed or the next deadline has passed. A time that runs backwards, a
+    null time and any other result of a due tick end the run as ``failed``; what the state does not allow is ``refused`` or, for callbacks, ``ignored``."""
+
+    def micros(frame: int) -> int:
+        return (frame * 2_000_000 * den + num) // (2 * num)
+
+    def fresh() -> dict:
+        return {"runs": False, "origin": None, "next": 1, "due": None, "last": None, "told": None, "under": 0, "smooth": True}
+
+    def tick(s: dict, now: int, result: str | None, manual: bool, missed: bool) -> tuple[str, int | None]:
+        frame, late = s["next"], max(0, now - s["due"])
+        if result == "stopped":
+            s["runs"] = s["smooth"] = False
+        elif result == "underflow":
+            s["smooth"] = False
+            s["under"] += s["told"] != frame
+            s["told"] = frame
+            s["origin"] += late
+        elif result == "advanced":
+            s["told"], s["next"] = None, frame + 1
+            if not manual and (missed or s["origin"] + micros(frame + 1) <= now):
+                s["origin"] += late
+        else:
+            return failed(s), None
+        s["due"] = s["origin"] + micros(s["next"])
+        return result, frame
+
+    def failed(s: dict) -> str:
+        s["runs"] = s["smooth"] = False
+        return "failed"
+
+    def act(s: dict, what: str | None, now: int | None, result: str | None) -> tuple[str, int | None]:
+        if what == "pause":
+            s["runs"] = False
+            return "paused", None
+        if what == "stop":
+            return failed(s).replace("failed", "stopped"), None
+        if what not in ("start", "resume", "manual", "callback"):
+            return "same", None
+        if what == "callback" and not s["runs"]:
+            return "ignored", None
+        if what == "manual" and s["runs"]:
+            return "refused", None
+        if now is None:
+            return failed(s), None
+        if what == "callback":
+            before, s["last"] = s["last"], now
+            if before is not None and now < before:
+                return failed(s), None
+            if now < s["due"]:
+                return "not-due", None
+            return tick(s, now, result, False, before is not None and now - before > micros(1))
+        if s["origin"] is None:
+            s["origin"], s["due"] = now, now + micros(1)
+        elif what == "resume":
+            s["due"], s["last"] = now + micros(1), None
+            s["origin"] = s["due"] - micros(s["next"])
+        if what == "manual":
+            return tick(s, s["due"], result, True, False)
+        s["runs"] = True
+        return "running", None
+
+    def step(s: dict, row: tuple) -> tuple:
+        return *act(s, *row[1:]), s["due"], s["under"], s["smooth"]
+
+    out = "status string, presented long, deadline long, underflows long, smooth boolean"
+    return ledgers.folded(_named(log, keys, order, op, at, result), keys, [order], ["_a", "_b", "_c"], out, fresh, step)
+
+
 #: Origins of a static picture from which full motion may be entered again; all others stay.
 REENTERED = ("reduced-motion", "context-loss", "visibility-suspended", "decoder-queued")
 

@@ -1,4 +1,4 @@
-"""Registered queries that replay a player's decisions: submission horizons, motion, visibility and raw inputs; joined into ``catalog``."""
+"""Registered queries that replay a player's decisions: submission horizons, deadlines, motion, visibility and raw inputs; joined into ``catalog``."""
 
 from __future__ import annotations
 
@@ -52,6 +52,28 @@ def horizon_decision(spark, d):
     return policies.submission_horizon(i, _RING).select("edge", "kind", "reason", "boundary", "wait", "total")
 
 
+def _micros(frame: str) -> str:
+    return f"((({frame}) * 2002000000 + 30000) // 60000)"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_id AS x, event_type AS t, {_N} FROM events), l AS (SELECT user_id, n, CASE WHEN n = 1 THEN 'start' WHEN t = 'signup' AND x % 5 = 0 THEN 'resume' WHEN t = 'error' AND x % 10 = 0 THEN 'pause' WHEN t = 'purchase' AND x % 6 = 1 THEN 'manual' ELSE 'callback' END AS op,
+n * 20000 + x * 7919 % 20000 AS at_us, CASE WHEN x % 97 = 0 THEN 'stopped' WHEN x % 6 = 0 THEN 'underflow' ELSE 'advanced' END AS result FROM o),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, false AS runs, CAST(NULL AS BIGINT) AS origin, CAST(1 AS BIGINT) AS frame, CAST(NULL AS BIGINT) AS deadline, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS told, CAST(0 AS BIGINT) AS underflows, true AS smooth, '' AS status, CAST(NULL AS BIGINT) AS presented FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, n, CASE WHEN op IN ('start', 'resume') THEN true WHEN op = 'pause' OR r = 'stopped' THEN false ELSE runs END, o2, CAST(f2 AS BIGINT), CAST(CASE WHEN op = 'resume' OR r IN ('advanced', 'underflow') OR deadline IS NULL THEN o2 + {_micros("f2")} ELSE deadline END AS BIGINT),
+CASE WHEN op = 'resume' THEN NULL WHEN op = 'callback' AND runs THEN at_us ELSE last END, CASE r WHEN 'advanced' THEN 0 WHEN 'underflow' THEN frame ELSE told END, CAST(underflows + CASE WHEN r = 'underflow' AND told <> frame THEN 1 ELSE 0 END AS BIGINT), smooth AND coalesce(r, 'advanced') = 'advanced',
+CASE WHEN op IN ('start', 'resume') THEN 'running' WHEN op = 'pause' THEN 'paused' WHEN r IS NOT NULL THEN r WHEN op = 'manual' THEN 'refused' WHEN runs THEN 'not-due' ELSE 'ignored' END, CASE WHEN r IS NOT NULL THEN frame END
+FROM (SELECT *, CAST(CASE WHEN op = 'resume' THEN at_us + {_micros("1")} - {_micros("frame")} WHEN op = 'callback' AND (r = 'underflow' OR (r = 'advanced' AND (at_us - last > {_micros("1")} OR origin + {_micros("frame + 1")} <= at_us))) THEN origin + at_us - deadline ELSE coalesce(origin, at_us) END AS BIGINT) AS o2, frame + CASE r WHEN 'advanced' THEN 1 ELSE 0 END AS f2
+FROM (SELECT w.* EXCLUDE (n), l.n, op, at_us, CASE WHEN op = 'manual' AND NOT runs THEN result WHEN op = 'callback' AND runs AND at_us >= deadline THEN result END AS r FROM w JOIN l ON l.user_id = w.user_id AND l.n = w.n + 1)))
+SELECT user_id, n, status, presented, deadline, underflows, smooth FROM w WHERE n > 0""")
+def realtime_deadlines(spark, d):
+    """Display callbacks of each user about every 20 ms against deadlines at 30000/1001 frames a second."""
+    kind, x = F.col("event_type"), F.col("event_id")
+    op = F.when(F.col("n") == 1, "start").when((kind == "signup") & (x % 5 == 0), "resume").when((kind == "error") & (x % 10 == 0), "pause").when((kind == "purchase") & (x % 6 == 1), "manual").otherwise("callback")
+    result = F.when(x % 97 == 0, "stopped").when(x % 6 == 0, "underflow").otherwise("advanced")
+    log = _numbered(spark, d).withColumn("op", op).withColumn("at", F.col("n").cast("long") * 20000 + x * 7919 % 20000).withColumn("result", result)
+    return policies.realtime_ticks(log, ["user_id"], "n", "op", "at", "result", 30000, 1001)
+
+
 _STAYS = ", ".join(f"'{x}'" for x in policies.REENTERED)
 
 
