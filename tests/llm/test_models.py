@@ -222,6 +222,20 @@ def test_chunk_tokenizer_equals_the_tokenizer(corpus):
         assert np.frombuffer(own.encode(None if t is None else t.encode()), "<u4").tolist() == ref.encode(t or "", add_special_tokens=False).ids
 
 
+def test_long_chunks_are_not_remembered():
+    from tokenizers import Tokenizer
+
+    path, rng = TOKENIZERS.path("word_bpe_49k.json"), random.Random(11)
+    with open(path, encoding="utf-8") as f:
+        own = packing.ChunkTokenizer(f.read())
+    ref = Tokenizer.from_file(path)
+    for alphabet in ("abcdefgh", "abc019+/=", "été中文字", "ab."):
+        chunks = ["".join(rng.choices(alphabet, k=n)) for n in (packing.LONG // 4, packing.LONG, packing.LONG + 1, 3000)]
+        for text in (" ".join(chunks), "".join(chunks) + "."):
+            assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
+    assert 0 < max(map(len, [*own.young, *own.old])) <= packing.LONG
+
+
 def test_sharding(spark, corpus, docs):
     got = sharding.kd_shards(docs, shards=7).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(len(corpus)))

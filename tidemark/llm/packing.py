@@ -7,7 +7,7 @@ are dealt to few tasks, which fill windows one after another; the last, partly f
 a task is cut into sequences whose lengths are powers of two, which need no padding.
 
 White-space-separated chunks are tokenised apart and remembered (the tokenizer's pattern never spans
-white space), two generations of ``MEMO`` at most in a worker.
+white space), two generations of ``MEMO`` at most in a worker, none of over ``LONG`` bytes.
 
 Defined cases: null or empty text is the end id alone; a null doc_id stays null; repeated rows
 are packed as often as they occur; no rows give no rows.
@@ -35,6 +35,8 @@ WINDOW = 4096
 OPEN = 32
 END_ID = 2
 MEMO = 300_000
+#: Longer chunks (text without spaces, encoded data) hardly repeat and would make the memory as large as the text.
+LONG = 64
 MERGE_WINDOWS = 256
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
@@ -110,7 +112,9 @@ class ChunkTokenizer:
         return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, "<u4").tobytes()
 
     def ids(self, chunk: bytes) -> bytes:
-        """Two generations of remembered chunks bound the memory."""
+        """Two generations of remembered chunks, none of them long, bound the memory."""
+        if len(chunk) > LONG:
+            return self._chunk(chunk)
         found = self.young.get(chunk)
         if found is not None:
             return found
