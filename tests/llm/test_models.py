@@ -1,11 +1,13 @@
 """Language ID, language model, decontamination, packing, sharding, neighbours and WARC against brute force."""
 
+import cProfile
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_data import SCHEMA, make_docs, words
@@ -167,6 +169,45 @@ def test_sweeps_find_planted_classes_beyond_the_core(spark):
     assert all(v[best[k]] >= 0.97 * sum(n for c, n in v.items() if c is not None) for k, v in kinds.items())
 
 
+def test_words_are_parsed_as_the_plain_way():
+    rng = random.Random(6)
+    made = lambda: "".join(rng.choice("aBZ .,\t\n\x0b\r\x1c\x85\xa0é1中-") for _ in range(rng.choice([0, 1, 5, 50]))) + "w" * rng.randrange(70)
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else made() for _ in range(rng.randrange(12))]
+        at = rng.randrange(len(texts) + 1)
+        lengths, h, shapes = lm._parsed(pa.array(texts, pa.string()).slice(at))
+        words = [lm.tokens(t and t.encode()) for t in texts[at:]]
+        flat = [w for own in words for w in own]
+        assert lengths.tolist() == [len(own) for own in words]
+        assert h.tolist() == [xxhash.xxh64_intdigest(w, 42) for w in flat]
+        assert shapes.tolist() == lm._shapes(flat).tolist() == [lm.shape(w) for w in flat]
+
+
+def test_contexts_are_counted_without_a_call_a_word(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["The", "a", "b,"]) if rng.random() < 0.3 else f"w{rng.randrange(3000)}" for _ in range(100)) for _ in range(200)]
+    passes = []
+    frame = type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: passes.append(f) or plain(self, f, *a, **k))
+    table = lm._contexts(make_docs(spark, texts), {b"the": 0, b"a": 1}, 2, None, 2)
+    calls = cProfile.Profile()
+    calls.runcall(lambda: list(passes[0](iter([pa.record_batch([pa.array(texts)], ["text"])]))))
+    assert sum(entry.callcount for entry in calls.getstats()) < 200 * 100 / 10
+
+    size = 2 + lm.SHAPES + 1
+    at = lambda w: size - 1 if w == b"\n" else {b"the": 0, b"a": 1}.get(w, 2 + lm.shape(w))
+    cells, seen = defaultdict(Counter), Counter()
+    for t in texts:
+        own = [b"\n", *tokens(t)]
+        seen.update(own[1:-1])
+        for a, b in zip(own, own[1:], strict=False):
+            cells[a][at(b)] += 1
+            cells[b][size + at(a)] += 1
+    got = {np.uint64(r["h"] % (1 << 64)): (r["n"], dict(np.frombuffer(r["cells"], lm.SUM).tolist())) for r in table.collect()}
+    assert got == {xxhash.xxh64_intdigest(w, 42): (n, dict(cells[w]) if n >= 2 else {}) for w, n in seen.items()}
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(4)
     words_n, truth = 30, np.arange(30) % 3

@@ -9,7 +9,7 @@ all other words are the contexts in which every word of the training part is the
 row a word. Distributed sweeps over that table move each word that occurs ``LEAST`` times or more, those of the
 core too, to the class whose contexts make its own likeliest, and take the classes' contexts anew, until hardly
 anything is gained. So the clustered words grow with the vocabulary; which class a word beyond the broadcast
-ones has is looked up in a join. Words seen once stand for what was never seen: they share shape classes (ASCII or not, kind
+ones has is looked up in a join. In both tables, and where contexts are counted, a word is its 64-bit hash. Words seen once stand for what was never seen: they share shape classes (ASCII or not, kind
 of the last byte) with it.
 
 Smoothing. p(c | b) is Witten-Bell: (n(b, c) + T * p(c)) / (n(b) + T), T the number of classes, and
@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,16 @@ SWEEPS = 20
 #: The distributed sweeps end once one gains less than this share of the log-likelihood.
 GAIN = 0.002
 FLUSH = 400_000
+#: Rows of a batch that goes from Python to the JVM, which holds it outside its heap.
+SENT = 20_000
 SHAPES = 8
+#: ``shape`` of an ASCII word by its last byte, and of other words less 4.
+ENDS = np.array([0 if 97 <= b <= 122 or b >= 128 else 1 if b == 46 else 2 if b == 44 else 3 for b in range(256)], np.int64)
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+NO_SPACE = np.array([len(bytes([b]).split()) == 1 for b in range(256)])
+#: How often a word stands in a context: within a task, and over the whole table.
+CELL = np.dtype([("code", "<u2"), ("n", "<u4")])
+SUM = np.dtype([("code", "<u2"), ("n", "<i8")])
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -59,9 +69,114 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def shape(word: bytes) -> int:
     """Shape class of a word outside the clustered ones."""
-    last = word[-1]
-    end = 0 if 97 <= last <= 122 or last >= 128 else 1 if last == 46 else 2 if last == 44 else 3
-    return 4 * (not word.isascii()) + end
+    return int(ENDS[word[-1]]) + 4 * (not word.isascii())
+
+
+def _shapes(words: list[bytes]) -> np.ndarray:
+    """``shape`` of each word."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    return ENDS[data[ends - 1]] + 4 * (np.maximum.reduceat(data, np.append(0, ends[:-1])) >= 128)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """The words' hashes as Spark has them."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The values' bytes, so many values an element."""
+    offsets = pa.array(np.append(0, np.cumsum(lengths)) * values.itemsize, pa.int64()).cast(pa.int32())  # fails beyond 2 GB
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets.buffers()[1], pa.py_buffer(values.view(np.uint8))])
+
+
+def _content(column: pa.Array, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """(number of values of each element, all values) of what ``_binaries`` made."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    held = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(kind)
+    return np.diff(at) // held.itemsize, held
+
+
+def _parsed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words of each text, hash and shape of each word), as ``tokens``, ``_hashes`` and ``shape`` give them."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    _, bounds, buffer = texts.buffers()
+    at = np.frombuffer(bounds, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = LOWER[np.frombuffer(buffer or b"", np.uint8)[at[0] : at[-1]]]
+    at = at.astype(np.int64) - at[0]
+    inside = NO_SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    some = at[:-1] < at[1:]
+    begins[at[:-1][some]] |= inside[at[:-1][some]]
+    ends[at[1:][some] - 1] |= inside[at[1:][some] - 1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if not len(begins):
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    shapes = ENDS[data[ends - 1]] + 4 * (np.maximum.reduceat(data, begins) >= 128)
+    return np.diff(np.searchsorted(begins, at)), _xxh64(data, begins, ends - begins), shapes
+
+
+def _xxh64(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """XXH64 with seed 42 of many stretches of bytes, those of one length at a time; long ones go through the library."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, by: (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights, fours = (np.ndarray(len(data) + 1, kind, padded, strides=(1,)) for kind in ("<u8", "<u4"))
+    out = np.empty(len(begins), np.uint64)
+    order = np.argsort(np.minimum(lengths, 32).astype(np.uint16), kind="stable")
+    cuts = np.searchsorted(lengths[order], np.arange(1, 33))
+    for n, begin, end in zip(range(1, 32), cuts[:-1], cuts[1:], strict=True):
+        if begin == end:
+            continue
+        spot = begins[order[begin:end]]
+        h = np.full(len(spot), 42 + int(five) + n, np.uint64)
+        for k in range(0, n - 7, 8):
+            h = turned(h ^ turned(eights[spot + k] * two, 31) * one, 27) * one + four
+        k = n - n % 8
+        if n - k >= 4:
+            h = turned(h ^ fours[spot + k].astype(np.uint64) * one, 23) * two + three
+            k += 4
+        for k in range(k, n):
+            h = turned(h ^ data[spot + k].astype(np.uint64) * five, 11) * one
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        out[order[begin:end]] = h ^ (h >> np.uint64(32))
+    for k in order[cuts[-1] :].tolist():
+        out[k] = xxhash.xxh64_intdigest(data[begins[k] : begins[k] + lengths[k]].tobytes(), 42)
+    return out
+
+
+def _found(h: np.ndarray, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """For each hash the id of the word with it, or -1."""
+    own = _hashes(words).view(np.uint64)
+    order = np.argsort(own)
+    own, ids = np.append(own[order], np.uint64(0)), np.append(ids[order], -1)
+    # a first look at 16 bits of the hash leaves few to search for
+    maybe = np.zeros(1 << 16, bool)
+    maybe[own[:-1] & np.uint64(0xFFFF)] = True
+    out, some = np.full(len(h), -1), np.flatnonzero(maybe[h & np.uint64(0xFFFF)])
+    at = np.searchsorted(own[:-1], h[some])
+    out[some] = np.where(own[at] == h[some], ids[at], -1)
+    return out
+
+
+def _between_ends(lengths: np.ndarray, values: np.ndarray, end: int) -> np.ndarray:
+    """The values, of which each text has its number, with ``end`` after each text."""
+    out = np.full(len(values) + len(lengths), end, values.dtype)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(lengths + 1) - 1] = False
+    out[word] = values
+    return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -77,9 +192,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text in common.as_bytes(batch.column(0)):
                 seen.update(tokens(text))
             if len(seen) > FLUSH:
-                yield out()
+                yield from common.slices(iter([out()]), SENT)
                 seen.clear()
-        yield out()
+        yield from common.slices(iter([out()]), SENT)
 
     return docs.select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -93,14 +208,13 @@ def _pairs(docs: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
     size = first + SHAPES + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = given.value.get, first + SHAPES
+        end = first + SHAPES
         sums = np.zeros(size * size, np.int64)
+        words, numbers = list(given.value), np.array(list(given.value.values()), np.int64)
         for batch in common.slices(batches):
-            seq = [end]
-            for text in common.as_bytes(batch.column(0)):
-                seq += [k if (k := get(w)) is not None else first + shape(w) for w in tokens(text)]
-                seq.append(end)
-            at = np.array(seq, np.int64)
+            lengths, h, shapes = _parsed(batch.column(0))
+            k = _found(h, words, numbers)
+            at = np.append(end, _between_ends(lengths, np.where(k < 0, first + shapes, k), end))
             sums += np.bincount(at[:-1] * size + at[1:], minlength=len(sums))
         got = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[got])], ["cell", "n"])
@@ -169,58 +283,60 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS)
 
 
 def _contexts(train: DataFrame, core: dict[bytes, int], classes: int, only: set[bytes] | None, least: int) -> DataFrame:
-    """(h long, n long, codes array<short>, ns array<long>): how often each word stands before and after which context.
+    """(h long, n long, cells binary): how often each word stands before and after which context, as records of ``SUM``.
 
     Contexts: the core words' classes, other words' shapes, the end. Code c is 'before context c', ``size`` + c is
-    'after context c'. Words with n < ``least`` have empty arrays; ``only`` leaves out all words but its own."""
+    'after context c'. Words with n < ``least`` have no cells; ``only`` leaves out all words but its own."""
     spark = common.session(train)
-    given = spark.sparkContext.broadcast((core, only))
+    given = spark.sparkContext.broadcast((core, None if only is None else _hashes(list(only)).view(np.uint64)))
     size = classes + SHAPES + 1
     wide = 2 * size
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, wanted = given.value
-        words: dict[bytes, int] = {}
-        around: list[int] = []
-        cells: list[np.ndarray] = []
-
-        def begin() -> None:
-            cells.clear()
-            words.clear()
-            around[:] = [size - 1]
+        core, core_class = list(known), np.array(list(known.values()), np.int64)
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *cells]), return_counts=True)
-            names = [b"", *words]
+            shapes, lengths = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+            h = np.concatenate([p[0] for p in parts])
+            parts.clear()
+            # as np.unique, but the places are numbered in as few bytes as they need; arrays go as soon as they are used
+            order = np.argsort(h)
+            h = h[order]
+            first = _firsts(h)
+            kind = np.int32 if (len(first) + 1) * wide < 1 << 31 else np.int64
+            words, new, k = h[first], np.zeros(len(h), bool), np.empty(len(h), kind)
+            new[first] = True
+            k[order] = np.cumsum(new, dtype=kind)
+            del h, order, new
+            around = np.empty(len(words) + 1, kind)
+            around[k] = classes + shapes.astype(kind)
+            around[0] = size - 1
+            c = _found(words, core, core_class)
+            around[1:][c >= 0] = c[c >= 0]
+            at = np.append(kind(0), _between_ends(lengths, k, 0))
+            del k
+            left, right = at[:-1], at[1:]
+            keys = np.concatenate([(left * kind(wide) + around[right])[left > 0], (right * kind(wide) + (around + kind(size))[left])[right > 0]])
+            del at, left, right
+            keys.sort()
+            first = _firsts(keys)
+            keys, n = keys[first], np.diff(np.append(first, len(keys)))
+            word, code = np.divmod(keys, kind(wide))
             if wanted is not None:
-                keep = np.array([w in wanted for w in names])[keys // wide]
-                keys, n = keys[keep], n[keep]
-            at, starts = np.unique(keys // wide, return_index=True)
-            h = np.array([xxhash.xxh64_intdigest(names[k], 42) for k in at.tolist()], np.uint64).view(np.int64)
-            return _listed(h, np.append(starts, len(keys)), keys % wide, n)
-
-        begin()
-        filled = 0
-        for batch in common.slices(batches, 128):
-            seq = [0]
-            for text in common.as_bytes(batch.column(0)):
-                for w in tokens(text):
-                    k = words.get(w)
-                    if k is None:
-                        k = words[w] = len(words) + 1
-                        c = known.get(w)
-                        around.append(classes + shape(w) if c is None else c)
-                    seq.append(k)
-                seq.append(0)
-            at, c = np.array(seq, np.int64), np.array(around, np.int64)
-            for cell, own in ((at[:-1] * wide + c[at[1:]], at[:-1]), (at[1:] * wide + size + c[at[:-1]], at[1:])):
-                cells.append(cell[own > 0])
-            filled += 2 * len(seq)
-            if len(words) > FLUSH or filled > 10 * FLUSH:
-                yield out()
-                begin()
-                filled = 0
-        yield out()
+                keep = np.isin(words, wanted)[word - 1]
+                word, code, n = word[keep], code[keep], n[keep]
+            first = _firsts(word)
+            return _celled(words[word[first] - 1].view(np.int64), np.diff(np.append(first, len(word))), code, n, CELL)
+
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in common.slices(batches):
+            lengths, h, shapes = _parsed(batch.column(0))
+            parts.append((h, shapes.astype(np.uint8), lengths))
+            if sum(len(p[0]) for p in parts) > 8 * FLUSH:
+                yield from common.slices(iter([out()]), SENT)
+        if parts:
+            yield from common.slices(iter([out()]), SENT)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,19 +351,20 @@ def _contexts(train: DataFrame, core: dict[bytes, int], classes: int, only: set[
         if held:
             yield _merged(held, size, least, True)[0]
 
-    counted = train.select("text").mapInArrow(count, "h long, codes array<short>, ns array<int>")
-    return common.written(counted.repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, n long, codes array<short>, ns array<long>"), "lm-contexts")
+    made = train.select("text").mapInArrow(counted, "h long, cells binary")
+    return common.written(made.repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, n long, cells binary"), "lm-contexts")
 
 
-def _listed(h: np.ndarray, starts: np.ndarray, codes: np.ndarray, ns: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
-    lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(v, t)) for v, t in ((codes, pa.int16()), (ns, pa.int32() if n is None else pa.int64()))]
-    names = ["h", *(["n"] if n is not None else []), "codes", "ns"]
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *([pa.array(n, pa.int64())] if n is not None else []), *lists], names)
+def _celled(h: np.ndarray, lengths: np.ndarray, codes: np.ndarray, ns: np.ndarray, kind: np.dtype, n: np.ndarray | None = None) -> pa.RecordBatch:
+    cells = np.empty(len(codes), kind)
+    cells["code"], cells["n"] = codes, ns
+    columns = {"h": pa.array(h, pa.int64()), **({} if n is None else {"n": pa.array(n, pa.int64())}), "cells": _binaries(cells, lengths)}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(length of each list, all values)."""
-    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+    return column.value_lengths().fill_null(0).to_numpy(), column.flatten().to_numpy()
 
 
 def _merged(held: list[pa.RecordBatch], size: int, least: int, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
@@ -259,26 +376,21 @@ def _merged(held: list[pa.RecordBatch], size: int, least: int, last: bool) -> tu
     if not last:
         end = int(np.flatnonzero(h == h[-1])[0])
         rest, batch, h = batch.slice(end), batch.slice(0, end), h[:end]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    first, wide = _firsts(h), 2 * size
     word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-    lengths, codes = _flat(batch.column(1))
-    ns = _flat(batch.column(2))[1].astype(np.int64)
-    keys, place = np.unique(np.repeat(word, lengths) * (2 * size) + codes, return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, place, ns)
-    of, code = keys // (2 * size), keys % (2 * size)
-    n = np.zeros(len(first), np.int64)
-    np.add.at(n, of[code < size], sums[code < size])
-    keep = n[of] >= least
-    of, code, sums = of[keep], code[keep], sums[keep]
-    starts = np.searchsorted(of, np.arange(len(first) + 1))
-    return _listed(h[first], starts, code, sums, n), rest
+    lengths, cells = _content(batch.column(1), CELL)
+    sums = np.bincount(np.repeat(word, lengths) * wide + cells["code"], cells["n"], len(first) * wide).astype(np.int64)
+    n = sums.reshape(len(first), wide)[:, :size].sum(axis=1)
+    keys = np.flatnonzero(sums)
+    keys = keys[n[keys // wide] >= least]
+    of, code = np.divmod(keys, wide)
+    return _celled(h[first], np.bincount(of, minlength=len(first)), code, sums[keys], SUM, n), rest
 
 
 def _nearest(batch: pa.RecordBatch, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class of each row or -1, its log-likelihood; row, code and count of each cell)."""
-    lengths, codes = _flat(batch.column(2))
-    ns = _flat(batch.column(3))[1].astype(np.float64)
+    lengths, cells = _content(batch.column(2), SUM)
+    codes, ns = cells["code"].astype(np.int64), cells["n"].astype(np.float64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     of, fit = np.full(len(lengths), -1), np.zeros(len(lengths))
     some = np.flatnonzero(lengths)
@@ -318,13 +430,13 @@ def _swept(contexts: DataFrame, sums: np.ndarray, sweeps: int = SWEEPS) -> DataF
             logs, new, total = given.value, np.zeros(wide * classes), 0.0
             for batch in joined(batches):
                 of, fit, row, codes, ns = _nearest(batch, logs)
-                new += np.bincount(codes.astype(np.int64) * classes + of[row], ns, minlength=len(new))
+                new += np.bincount(codes * classes + of[row], ns, minlength=len(new))
                 total += float(fit.sum())
             got = np.flatnonzero(new)
             # the last cell is the log-likelihood
             yield pa.RecordBatch.from_arrays([pa.array(np.append(got, len(new))), pa.array(np.append(new[got], total))], ["cell", "n"])
 
-        cells = contexts.where("size(codes) > 0").mapInArrow(work, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cells = contexts.where("octet_length(cells) > 0").mapInArrow(work, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         fresh = np.zeros(wide * classes + 1)
         fresh[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
         sums, fit = fresh[:-1].reshape(wide, classes), fresh[-1]
@@ -437,8 +549,10 @@ def _stepped(model: Model, rows: DataFrame) -> Model:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(total * total, np.int64)
         for batch in batches:
-            at = [np.frombuffer(s, np.uint16).astype(np.int64) for s in batch.column(0).to_pylist()]
-            sums += np.bincount(np.concatenate([np.zeros(0, np.int64), *(s[:-1] * total + s[1:] for s in at)]), minlength=len(sums))
+            at = _content(batch.column(0), np.uint16)[1].astype(np.int64)
+            sums += np.bincount(at[:-1] * total + at[1:], minlength=len(sums))
+            # between two rows two ends meet, which is no step
+            sums[-1] -= max(0, batch.num_rows - 1)
         got = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[got])], ["cell", "n"])
 
@@ -520,40 +634,56 @@ def sequences(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         own = given.value
         n_classes = len(own.class_n) - 1 - SHAPES
         end, first = n_classes + SHAPES, TaskContext.get().partitionId() << 40
-        # (class, base score, emission) of the broadcast words
+        # class, base score and emission of the broadcast words, and a place for all others
+        head = list(own.head)
         ns = np.array(list(own.head.values()), np.float64)
-        of = np.array([own.class_of[k] if (k := own.ids.get(w)) is not None else n_classes + shape(w) for w in own.head], np.int64)
-        plains = np.log10((ns + 1) / (own.tokens + own.types + 1))
-        totals = np.log10(np.where(of < n_classes, ns, ns - DISCOUNT) / own.class_n[of])
-        get = dict(zip(own.head, zip(of.tolist(), plains.tolist(), totals.tolist(), strict=True), strict=True)).get
+        at = np.fromiter(map(own.ids.get, head, repeat(-1)), np.int64, len(head))
+        of = np.append(n_classes + _shapes(head), 0)
+        of[:-1][at >= 0] = own.class_of[at[at >= 0]]
+        plains = np.append(np.log10((ns + 1) / (own.tokens + own.types + 1)), own.base(0) if own.complete else 0.0)
+        totals = np.append(np.log10(np.where(of[:-1] < n_classes, ns, ns - DISCOUNT) / own.class_n[of[:-1]]), 0.0)
+        unseen = np.array([own.emission(n_classes + c, 0) for c in range(SHAPES)])
+        get = dict(zip(head, range(len(head)), strict=True)).get
         for batch in common.slices(batches, 128):
-            cols: list[list] = [[] for _ in range(10)]
-            for doc, learnt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), strict=True):
-                seq, spots, rest = [end], [], {}
-                plain, total, known = own.base(own.documents), 0.0, 1 if own.documents else 0
-                for w in tokens(text):
-                    got = get(w)
-                    if got is not None:
-                        seq.append(got[0])
-                        plain += got[1]
-                        total += got[2]
-                        known += 1
-                        continue
-                    c = n_classes + shape(w)
-                    if own.complete:
-                        plain += own.base(0)
-                        total += own.emission(c, 0)
-                    else:
-                        spots.append(len(seq))
-                        spots.append(rest.setdefault(w, len(rest)))
-                    seq.append(c)
-                seq.append(end)
-                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in rest], np.uint64).view(np.int64)
-                for col, value in zip(cols, (first, doc, learnt, len(seq) - 1, known, plain, total, np.array(seq, np.uint16).tobytes(), np.array(spots, np.int32).tobytes(), hashes), strict=True):
-                    col.append(value)
-                first += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["row", "doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq", "spots", "hashes"])
+            texts = [tokens(text) for text in common.as_bytes(batch.column(2))]
+            rows, lengths = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+            flat = list(chain.from_iterable(texts))
+            k = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+            row, missed = np.repeat(np.arange(rows), lengths), np.flatnonzero(k < 0)
+            lost, place = [flat[j] for j in missed.tolist()], np.arange(len(flat)) + 2 * row + 1
+            c, total = of[k], totals[k]
+            c[missed] = n_classes + _shapes(lost)
+            if own.complete:
+                total[missed] = unseen[c[missed] - n_classes]
+            seq = np.full(len(flat) + 2 * rows, end, np.uint16)
+            seq[place] = c
+            known = np.bincount(row[k >= 0], minlength=rows) + (1 if own.documents else 0)
+            sums = [np.bincount(row, x, rows).astype(np.float64) for x in (plains[k], total)]
+            # the places of words beyond the broadcast ones, by the numbers of their hashes within the row
+            missed = missed[: 0 if own.complete else None]
+            h, of_row = _hashes(lost[: len(missed)]), row[missed]
+            order = np.lexsort((h, of_row))
+            new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(of_row[order]) != 0))[: len(h)]
+            words = np.bincount(of_row[order][new], minlength=rows)
+            spots = np.empty((len(h), 2), np.int32)
+            spots[:, 0] = place[missed] - (np.cumsum(lengths + 2) - lengths - 2)[of_row]
+            spots[order, 1] = np.cumsum(new) - 1 - (np.cumsum(words) - words)[of_row[order]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(first, first + rows)),
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(lengths + 1),
+                    pa.array(known),
+                    pa.array(sums[0] + own.base(own.documents)),
+                    pa.array(sums[1]),
+                    _binaries(seq, lengths + 2),
+                    _binaries(spots.ravel(), 2 * np.bincount(of_row, minlength=rows)),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(words)), pa.int32()), pa.array(h[order][new], pa.int64())),
+                ],
+                ["row", "doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq", "spots", "hashes"],
+            )
+            first += rows
 
     out = "doc_id long, learnt boolean, n_tokens long, n_known long, base_score double, emission double, seq binary"
     rows = common.written(base.mapInArrow(work, "row long, " + out + ", spots binary, hashes array<long>"), "lm-rows")
@@ -570,27 +700,24 @@ def sequences(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
         unseen = np.array([own.emission(c, 0) if n_classes <= c < n_classes + SHAPES else 0.0 for c in range(len(own.class_n))])
         size = float(own.tokens + own.types + 1)
         for batch in common.slices(batches):
-            cols = [batch.column(k).to_pylist() for k in range(11)]
-            for r in range(batch.num_rows):
-                spots = np.frombuffer(cols[7][r], np.int32).reshape(-1, 2)
-                if not len(spots):
-                    continue
-                seq = np.frombuffer(cols[6][r], np.uint16).copy()
-                words = int(spots[:, 1].max()) + 1
-                n, of = np.zeros(words, np.int64), np.full(words, -1)
-                if cols[8][r] is not None:
-                    n[cols[8][r]], of[cols[8][r]] = cols[9][r], cols[10][r]
-                n, of = n[spots[:, 1]], of[spots[:, 1]]
-                seq[spots[of >= 0, 0]] = of[of >= 0]
-                c = seq[spots[:, 0]]
-                with np.errstate(divide="ignore"):
-                    known = np.log10(np.where(of >= 0, n, np.maximum(n - DISCOUNT, 0.1))) - log_total[c]
-                cols[3][r] += int((n > 0).sum())
-                cols[4][r] += float(np.log10((n + 1) / size).sum())
-                cols[5][r] += float(np.where(n > 0, known, unseen[c]).sum())
-                cols[6][r] = seq.tobytes()
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:7], kinds, strict=True)], ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq"])
+            lengths, seq = _content(batch.column(6), np.uint16)
+            asked, spots = _content(batch.column(7), np.int32)
+            spots, asked = spots.reshape(-1, 2), asked // 2
+            row, seq = np.repeat(np.arange(len(asked)), asked), seq.copy()
+            first = np.cumsum(asked) - asked
+            n, of = np.zeros(len(spots), np.int64), np.full(len(spots), -1)
+            answered, j = _flat(batch.column(8))
+            at = np.repeat(first, answered) + j
+            n[at], of[at] = _flat(batch.column(9))[1], _flat(batch.column(10))[1]
+            at = first[row] + spots[:, 1]
+            n, of = n[at], of[at]
+            place = (np.cumsum(lengths) - lengths)[row] + spots[:, 0]
+            seq[place[of >= 0]] = of[of >= 0]
+            c = seq[place]
+            known = np.log10(np.where(of >= 0, np.maximum(n, 1), np.maximum(n - DISCOUNT, 0.1))) - log_total[c]
+            adds = n > 0, np.log10((n + 1) / size), np.where(n > 0, known, unseen[c])
+            sums = [pa.array(batch.column(3 + k).to_numpy() + np.bincount(row, x, len(asked)).astype(kind)) for k, (x, kind) in enumerate(zip(adds, (np.int64, np.float64, np.float64), strict=True))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *sums, _binaries(seq, lengths)], ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "emission", "seq"])
 
     filled = common.written(both.mapInArrow(fill, out), "lm-sequences")
     common.removed(rows)
@@ -607,9 +734,11 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [np.frombuffer(s, np.uint16) for s in batch.column(5).to_pylist()]
-            total = [float(given.value[s[:-1], s[1:]].sum()) for s in at]
-            score = pa.array(np.array(total) + batch.column(4).to_numpy(zero_copy_only=False), pa.float64())
+            lengths, at = _content(batch.column(5), np.uint16)
+            steps, ends = given.value[at[:-1], at[1:]], np.cumsum(lengths)
+            steps[ends[:-1] - 1] = 0
+            total = np.add.reduceat(steps, ends - lengths) if len(ends) else np.zeros(0)
+            score = pa.array(total + batch.column(4).to_numpy(), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), score], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return rows.select("doc_id", "n_tokens", "n_known", "base_score", "emission", "seq").mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double")
